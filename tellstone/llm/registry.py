@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tellstone.llm import lookalikes
+from tellstone.llm import components, cooccurrence, lookalikes
 
-_ALL = [lookalikes]
+_ALL = [lookalikes, cooccurrence, components]
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _ALL for k, v in m.SQL.items()}
