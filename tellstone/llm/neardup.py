@@ -129,7 +129,8 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, hits: in
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     s = similarity
-    sets = scratch.write(docs.where("size(pairs) > 0").select("id", "pairs", F.xxhash64("pairs").alias("h1"), F.hash(F.reverse("pairs")).alias("h2"), F.size("pairs").alias("n")))
+    sets = scratch.write(docs.select("id", "pairs")).where("size(pairs) > 0")  # written first, or each use makes the pairs anew
+    sets = sets.select("id", "pairs", F.xxhash64("pairs").alias("h1"), F.hash(F.reverse("pairs")).alias("h2"), F.size("pairs").alias("n"))
     first = sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     members = scratch.write(sets.select("id", "h1", "h2", "n").join(first, ["h1", "h2", "n"]).select("id", "rep"))
     reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "pairs")
@@ -160,10 +161,10 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, hits: in
 
 
 def catalog_sets(spark: SparkSession, folder: str, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``id`` and ``pairs`` of the catalogue entries with at least so many words; a row that comes again counts once."""
+    """``id`` and ``pairs`` of the catalogue entries, null for fewer words; a row that comes again counts once."""
     rows = read_table(spark, folder, "corpus_catalog", "id", "transliteration").where("id is not null and transliteration is not null")
     texts = rows.groupBy("id").agg(F.any_value("transliteration").alias("text")).select("id", words(clean_text(F.col("text"))).alias("w"))
-    return texts.where(F.size("w") >= least_words).select("id", word_pairs(F.col("w")).alias("pairs"))
+    return texts.select("id", F.when(F.size("w") >= least_words, word_pairs(F.col("w"))).alias("pairs"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
