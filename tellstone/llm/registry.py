@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tellstone.llm import components, cooccurrence, lookalikes, bytepairs, neardup, termcounts
+from tellstone.llm import components, cooccurrence, lookalikes, bytepairs, neardup, termcounts, truncation
 
-_ALL = [lookalikes, cooccurrence, components, neardup, termcounts, bytepairs]
+_ALL = [lookalikes, cooccurrence, components, neardup, termcounts, truncation, bytepairs]
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _ALL for k, v in m.SQL.items()}
