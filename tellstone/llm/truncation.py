@@ -110,10 +110,12 @@ def truncated(docs: DataFrame) -> DataFrame:
     inner = known.where("n > 1 and length(word) < 200").select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("node"), F.col("word"))
     inner = inner.where("node <> word").groupBy("node").agg(F.count(F.lit(1)).alias("goes_on"))
     trie = scratch.write(finals.join(inner, "node", "left_semi").join(known.select(F.col("word").alias("node")), "node", "left_anti"))
-    lines = ends.where("end = 'closing' and closing like '$%'").groupBy("closing").agg(F.count(F.lit(1)).alias("n"))
-    lines = scratch.write(lines)
-    starts = lines.where("n > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("closing") - 1), lambda i: F.substring(F.col("closing"), F.lit(1), i))).alias("closing")).distinct()
-    broken = lines.where("n = 1").join(starts, "closing", "left_semi").select("closing", F.lit(True).alias("line_broken"))
+    # the same for whole closing lines: one that many longer lines begin with, word by word, stops early
+    lines = scratch.write(ends.where("end = 'closing' and (closing like '$%' or closing like '—%')").groupBy("closing").agg(F.count(F.lit(1)).alias("n")))
+    spaced = F.split("closing", " ", -1)
+    starts = lines.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size(spaced)), lambda i: F.array_join(F.slice(spaced, F.lit(1), i), " "))).alias("start"), "closing").where("start <> closing")
+    starts = starts.groupBy(F.col("start").alias("closing")).agg(F.sum("n").alias("longer"))
+    broken = lines.join(starts, "closing").where("longer >= 10 * n").select("closing", F.lit(True).alias("line_broken"))
     is_open = F.col("end").isin("marked", "line", "open")
     limits = None
     for unit in ("chars", "bytes"):
