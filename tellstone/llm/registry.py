@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tellstone.llm import components, cooccurrence, lookalikes, bytepairs, neardup, neighbours, termcounts, truncation
+from tellstone.llm import components, cooccurrence, lookalikes, bytepairs, mixing, neardup, neighbours, termcounts, truncation
 
 _ALL = [neighbours, lookalikes, cooccurrence, components, neardup, termcounts, truncation, bytepairs]
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
