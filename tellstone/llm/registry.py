@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tellstone.llm import components, cooccurrence, lookalikes, bytepairs, mixing, neardup, neighbours, termcounts, truncation
+from tellstone.llm import bytepairs, components, cooccurrence, lookalikes, mixing, neardup, neighbours, termcounts, truncation
 
-_ALL = [neighbours, lookalikes, cooccurrence, components, neardup, termcounts, truncation, bytepairs]
+_ALL = [neighbours, lookalikes, cooccurrence, components, neardup, termcounts, bytepairs, mixing, truncation]
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _ALL for k, v in m.SQL.items()}
