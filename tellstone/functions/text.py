@@ -74,6 +74,10 @@ def motif_groups(text: Column) -> Column:
     return _all_classes(text, MOTIF_GROUPS, NO_MOTIF_GROUP)
 
 
+def _without(tokens: Column, part: str) -> Column:
+    return F.transform(tokens, lambda x: F.replace(x, F.lit(part), F.lit("")))
+
+
 def sign_tokens(transliteration: Column) -> Column:
     """Sign tokens in upper case, in order, by the rules of the sign statistics.
 
@@ -85,7 +89,7 @@ def sign_tokens(transliteration: Column) -> Column:
     t = F.regexp_replace(t, r"(?m)#.*$", "")
     t = F.transform(F.split(t, r"[\s\p{Z}.]+", -1), lambda x: F.regexp_replace(F.regexp_replace(x, r"\p{Nd}+$", ""), r"[()\[\]{}]", ""))
     for determinative in ("d", "giš", "ki", "uru"):
-        t = F.transform(t, lambda x, m=determinative: F.replace(x, F.lit(m), F.lit("")))
+        t = _without(t, determinative)
     return F.transform(F.filter(t, lambda x: (x != "") & ~x.rlike(r"^[\p{Nd}\p{No}]+$")), F.upper)
 
 
