@@ -14,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellstone.session import Scratch
+
 # Letters of other scripts that look like Latin ones, and the Latin ones.
 LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o",
@@ -22,6 +24,8 @@ LOOK_ALIKES = {
 }
 # Hyphens and the minus sign that look like the ordinary hyphen.
 HYPHENS = "‐‑‒−﹣"
+#: Ranges of characters that are mapped to themselves; text of nothing else is left as it is.
+PLAIN = r"\x20-\x7e\u00c0-\u024f\u1e00-\u1eff\u2080-\u2089"
 # Editorial marks that words and signs leave out.
 MARKS = "[]()<>#?!"
 
@@ -31,13 +35,17 @@ def translate_map() -> tuple[str, str]:
     """Arguments of ``translate``: characters to replace, then those to delete.
 
     By rule: full-width forms by their offset, every blank (Zs) to the blank, every
-    invisible format character (Cf) and variation selector to nothing.
+    invisible format character (Cf) and variation selector to nothing, and characters that
+    are canonically the same as an ASCII one to that.
     """
     pairs = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | LOOK_ALIKES | dict.fromkeys(HYPHENS, "-")
     gone = ["͏", *map(chr, range(0xFE00, 0xFE10))]
     for c in range(0x10000):
         kind = unicodedata.category(chr(c))
-        if kind == "Zs" and c != 0x20:
+        same = unicodedata.normalize("NFD", chr(c))
+        if c > 0x7E and len(same) == 1 and same < "\x7f":
+            pairs[chr(c)] = same
+        elif kind == "Zs" and c != 0x20:
             pairs[chr(c)] = " "
         elif kind == "Cf" and not 0x600 <= c <= 0x8E2:  # signs of Arabic script in that range are seen
             gone.append(chr(c))
@@ -64,7 +72,7 @@ def compositions() -> list[tuple[str, str]]:
 def mapped_text(text: Column) -> Column:
     """Text with look-alikes, widths, blanks and hyphens replaced and nothing invisible; accents as stored."""
     source, target = translate_map()
-    return F.translate(text, source, target)
+    return F.when(text.rlike(f"[^{PLAIN}]"), F.translate(text, source, target)).otherwise(text)
 
 
 def composed_text(text: Column) -> Column:
@@ -118,28 +126,44 @@ def signs_sql(clean: str) -> str:
     return f"list_filter(regexp_split_to_array(translate(lower(translate({clean}, '{MARKS}', '')), '₀₁₂₃₄₅₆₇₈₉', '0123456789'), '[ .-]'), lambda s: s <> '' and s <> 'x')"
 
 
-def canonical_classes(records: DataFrame, text: str = "text") -> DataFrame:
-    """Records with ``canonical``: one string for all texts that read the same.
-
-    Look-alikes are mapped first. Mapped texts are grouped under the accent-sensitive
-    and case-sensitive Unicode collation, which holds composed and separate accents to be
-    equal; the canonical member of a class is its smallest mapped text in binary
-    order, with accents composed, and is joined back to all its records. ``varied`` says
-    whether the class holds different stored texts.
+def _blocked(records: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Records with ``_mapped`` and ``_block``, and the blocks that hold different stored texts.
 
-    Classes are reduced to one row a text before the shuffle, and only varied classes
-    or such with separate accents are joined back; all other texts are their own
-    canonical member. Null text keeps a null canonical and is never varied; empty text is a
-    class like any other. Other columns, whatever their names, stay as they are.
+    A block is a hash of the ASCII characters that no accent follows. Texts that are equal under
+    the collation agree in these, so classes never reach across blocks.
     """
     rows = records.withColumn("_mapped", mapped_text(F.col(text)))
+    rows = rows.withColumn("_block", F.xxhash64(F.regexp_replace("_mapped", r"[^\x20-\x7e]|[\x20-\x7e](?=\p{M})", "")))
+    stored = F.xxhash64(F.col(text))
+    mixed = rows.where(F.col(text).isNotNull()).groupBy("_block").agg(F.min(stored).alias("low"), F.max(stored).alias("high")).where("low <> high").select("_block")
+    return rows, mixed
+
+
+def varied_classes(records: DataFrame, text: str = "text") -> DataFrame:
+    """Records whose class holds different stored texts, with ``canonical``.
+
+    Look-alikes are mapped first. Only blocks that hold different stored texts go on, so that
+    most texts are neither sorted nor sent. Their mapped texts are grouped under the
+    accent-sensitive and case-sensitive Unicode collation, which holds composed and separate
+    accents to be equal; the canonical member of a class is its smallest mapped text in binary
+    order, with accents composed, and is joined back to all its records. Null texts have no class.
+    """
+    rows, mixed = _blocked(records, text)
+    rows = Scratch(records.sparkSession, "classes").write(rows.where(F.col(text).isNotNull()).join(mixed, "_block", "left_semi"))
     key = F.collate(F.col("_mapped"), "UNICODE")
-    classes = (
-        rows.where(F.col("_mapped").isNotNull())
-        .groupBy(key.alias("_key"))
-        .agg(F.min("_mapped").alias("_member"), F.min(text).alias("_low"), F.max(text).alias("_high"))
-        .where((F.col("_low") != F.col("_high")) | F.col("_member").rlike(r"\p{M}"))
-        .select("_key", composed_text(F.col("_member")).alias("_canonical"), (F.col("_low") != F.col("_high")).alias("_varied"))
-    )
-    joined = rows.withColumn("_key", key).join(classes, "_key", "left")
-    return joined.withColumn("canonical", F.coalesce("_canonical", "_mapped")).withColumn("varied", F.coalesce("_varied", F.lit(False))).drop("_key", "_mapped", "_canonical", "_varied")
+    classes = rows.groupBy(key.alias("_key")).agg(F.min("_mapped").alias("_member"), F.min(text).alias("_low"), F.max(text).alias("_high")).where("_low <> _high")
+    classes = classes.select("_key", composed_text(F.col("_member")).alias("canonical"))
+    return rows.withColumn("_key", key).join(classes, "_key").drop("_key", "_mapped", "_block")
+
+
+def canonical_classes(records: DataFrame, text: str = "text", key: str = "rec") -> DataFrame:
+    """Every record's ``key`` with ``canonical``: one string for all texts that read the same.
+
+    Classes are those of ``varied_classes``; any other text is its own canonical member, mapped and
+    with accents composed. Null text keeps a null canonical, empty text is a text like any other.
+    A record that comes again with the same key counts once.
+    """
+    rows, _ = _blocked(records, text)
+    found = varied_classes(records.select(key, text), text).groupBy(key).agg(F.min("canonical").alias("_canonical"))
+    own = rows.groupBy(key).agg(F.min(composed_text(F.col("_mapped"))).alias("_own"))
+    return own.join(found, key, "left").select(key, F.coalesce("_canonical", "_own").alias("canonical"))

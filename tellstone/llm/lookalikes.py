@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellstone.llm.cleantext import canonical_classes, clean_sql, words, words_sql
+from tellstone.llm.cleantext import canonical_classes, clean_sql, varied_classes, words, words_sql
 from tellstone.sources.tables import read_table
 
 TABLES = ("tablets", "corpus_catalog", "myth_texts")
@@ -32,7 +32,7 @@ def same_reading(records: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     Texts of fewer than ``least_words`` words and null texts are left out; a record that comes
     again counts once. An empty input gives an empty result.
     """
-    classes = canonical_classes(records).where("varied")
+    classes = varied_classes(records)
     members = (
         classes.where(F.size(words(F.col("canonical"))) >= least_words)
         .select("rec", F.sha2(F.col("canonical"), 256).substr(1, 32).alias("class"), F.xxhash64("text").alias("form"))
@@ -48,8 +48,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """Every record with its canonical text."""
-    records = canonical_classes(transliterations(spark, folder, *TABLES))
-    return records.groupBy("rec").agg(F.min("canonical").alias("canonical"))
+    return canonical_classes(transliterations(spark, folder, *TABLES))
 
 
 _RECORDS = " union all ".join(f"select '{t}:' || cast(id as varchar) as rec, transliteration as text from {t}" for t in TABLES)
