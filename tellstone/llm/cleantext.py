@@ -1,14 +1,14 @@
 """Text in one consistent form: the same reading is the same string.
 
-Everything here is a column expression that runs inside the JVM. ``CLEAN_SQL`` is
+Everything here is a column expression that runs inside the JVM. ``clean_sql`` gives
 the same form for an SQL engine that has ``translate`` and ``nfc_normalize``.
 """
 
 from __future__ import annotations
 
 import itertools
-import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -56,7 +56,7 @@ def translate_map() -> tuple[str, str]:
 def compositions() -> list[tuple[str, str]]:
     """Letters followed by accents, in any order that means the same, and the one composed character."""
     out = {}
-    for c in range(0xC0, sys.maxunicode if sys.maxunicode < 0x2000 else 0x2000):
+    for c in range(0xC0, 0x2000):
         apart = unicodedata.normalize("NFD", chr(c))
         if len(apart) > 1 and unicodedata.normalize("NFC", apart) == chr(c):
             for marks in itertools.permutations(apart[1:]):
@@ -69,6 +69,11 @@ def compositions() -> list[tuple[str, str]]:
     return sorted(out.items())
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where plain columns would compute it at each mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def mapped_text(text: Column) -> Column:
     """Text with look-alikes, widths, blanks and hyphens replaced and nothing invisible; accents as stored."""
     source, target = translate_map()
@@ -89,7 +94,7 @@ def composed_text(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """The consistent form. Null stays null, text of nothing but invisible characters becomes empty."""
-    return composed_text(mapped_text(text))
+    return _with(mapped_text(text), composed_text)
 
 
 def bare_text(clean: Column) -> Column:

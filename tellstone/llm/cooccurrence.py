@@ -122,7 +122,7 @@ def cooccurrence(records: DataFrame, least_pairs: int = 1, least_share: float =
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "cooccurrence")
-    sets = scratch.write(records.select(F.array_distinct(F.array_compact("terms")).alias("terms")).where("size(terms) > 0"))
+    sets = scratch.write(records.select(F.array_distinct(F.array_compact("terms")).alias("terms"))).where("size(terms) > 0")
     n = sets.count()
     least = max(1, least_pairs, -(-int(round(least_share * n * 1e6)) // 1_000_000))
     terms = scratch.write(sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= least))

@@ -94,7 +94,7 @@ def miscounted(counts: DataFrame, knowledge: DataFrame) -> DataFrame:
 
 def _tablet_counts(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     scratch = Scratch(spark, "signs")
-    records = scratch.write(sign_records(spark, folder, "tablets").where("size(terms) > 0"))
+    records = scratch.write(sign_records(spark, folder, "tablets")).where("size(terms) > 0")
     return scratch.write(term_counts(records)), records.count()
 
 
