@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tellstone.sources.tables import read_table
 
-_REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+def _revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(_REVENUE), 2).alias("sum_disc"),
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(_revenue()), 2).alias("sum_disc"),
         F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.count(F.lit(1)).alias("n"),
     )
 
@@ -24,7 +26,7 @@ def shipping_priority(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     lines = read_table(spark, folder, "lineitem", "l_orderkey", "l_extendedprice", "l_discount")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    revenue = joined.groupBy("l_orderkey").agg(F.round(F.sum(_REVENUE), 2).alias("revenue"))
+    revenue = joined.groupBy("l_orderkey").agg(F.round(F.sum(_revenue()), 2).alias("revenue"))
     return revenue.orderBy(F.desc("revenue"), "l_orderkey").limit(10)
 
 
@@ -33,7 +35,7 @@ def nation_revenue(spark: SparkSession, folder: str) -> DataFrame:
     lines = read_table(spark, folder, "lineitem", "l_orderkey", "l_extendedprice", "l_discount")
     names = n.join(r, n.n_regionkey == r.r_regionkey)
     joined = lines.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    by_nation = joined.groupBy("c_nationkey").agg(F.sum(_REVENUE).alias("revenue"))  # before the names are joined: one row a nation
+    by_nation = joined.groupBy("c_nationkey").agg(F.sum(_revenue()).alias("revenue"))  # before the names are joined: one row a nation
     return by_nation.join(names, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", F.round("revenue", 2).alias("revenue"))
 
 
