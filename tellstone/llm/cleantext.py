@@ -137,7 +137,7 @@ def _blocked(records: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     A block is a hash of the ASCII characters that no accent follows. Texts that are equal under
     the collation agree in these, so classes never reach across blocks.
     """
-    rows = records.withColumn("_mapped", mapped_text(F.col(text)))
+    rows = records.drop("canonical", "_key").withColumn("_mapped", mapped_text(F.col(text)))
     rows = rows.withColumn("_block", F.xxhash64(F.regexp_replace("_mapped", r"[^\x20-\x7e]|[\x20-\x7e](?=\p{M})", "")))
     stored = F.xxhash64(F.col(text))
     mixed = rows.where(F.col(text).isNotNull()).groupBy("_block").agg(F.min(stored).alias("low"), F.max(stored).alias("high")).where("low <> high").select("_block")
@@ -151,7 +151,8 @@ def varied_classes(records: DataFrame, text: str = "text") -> DataFrame:
     most texts are neither sorted nor sent. Their mapped texts are grouped under the
     accent-sensitive and case-sensitive Unicode collation, which holds composed and separate
     accents to be equal; the canonical member of a class is its smallest mapped text in binary
-    order, with accents composed, and is joined back to all its records. Null texts have no class.
+    order, with accents composed, and is joined back to all its records. Null texts have no class. Other
+    columns stay, but one named ``canonical`` is replaced.
     """
     rows, mixed = _blocked(records, text)
     rows = Scratch(records.sparkSession, "classes").write(rows.where(F.col(text).isNotNull()).join(mixed, "_block", "left_semi"))
