@@ -33,7 +33,7 @@ class Reach:
 
 
 #: Lists in which a vector is kept, and lists in which the neighbours of one are sought.
-POSTINGS, PROBES, CLOSE_PROBES = Reach(1.05, 4), Reach(1.15, 16), Reach(1.05, 4)
+POSTINGS, PROBES, CLOSE_PROBES = Reach(1.05, 4), Reach(1.35, 24), Reach(1.05, 4)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
