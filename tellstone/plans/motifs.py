@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,6 +19,11 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("id").alias("text_id"), M.full_text("text", "transliteration", "translation").alias("full"), "period", "language")
 
 
+def _place() -> Column:
+    """Place of the period in the fixed order; unknown ones come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in PERIODS]), F.col("period")), F.lit(0)) - 1, F.lit(UNKNOWN_PERIOD))
+
+
 def motif_presence(spark: SparkSession, folder: str) -> DataFrame:
     return M.motif_matches(_texts(spark, folder)).select("text_id", "motif_id", F.round("confidence", 6).alias("confidence"))
 
@@ -35,8 +40,7 @@ def motif_instances(spark: SparkSession, folder: str) -> DataFrame:
 def archetype_prevalence(spark: SparkSession, folder: str) -> DataFrame:
     """Share of each archetype among the motif texts of a period, and its earliest and latest period."""
     texts = _texts(spark, folder)
-    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in PERIODS]), F.col("period")), F.lit(0)) - 1, F.lit(UNKNOWN_PERIOD))
-    per = M.motif_matches(texts).join(texts.select("text_id", "period"), "text_id").groupBy("archetype", "period").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place)
+    per = M.motif_matches(texts).join(texts.select("text_id", "period"), "text_id").groupBy("archetype", "period").agg(F.count(F.lit(1)).alias("n")).withColumn("place", _place())
     of_period, of_type = W.partitionBy("period"), W.partitionBy("archetype")
     return per.select(
         "archetype", "period", "n", F.round(F.col("n") / F.greatest(F.lit(1), F.sum("n").over(of_period)), 6).alias("share"),
@@ -47,8 +51,7 @@ def archetype_prevalence(spark: SparkSession, folder: str) -> DataFrame:
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
     texts = _texts(spark, folder)
     profiles, members = M.motif_profiles(M.motif_matches(texts))
-    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in PERIODS]), F.col("period")), F.lit(0)) - 1, F.lit(UNKNOWN_PERIOD))
-    earliest = members.join(texts.select("text_id", "period"), "text_id").groupBy("profile").agg(F.min_by("period", F.struct(place, "period")).alias("period"))
+    earliest = members.join(texts.select("text_id", "period"), "text_id").groupBy("profile").agg(F.min_by("period", F.struct(_place(), "period")).alias("period"))
     return profiles.join(earliest, "profile")
 
 
