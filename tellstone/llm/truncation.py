@@ -12,41 +12,46 @@ from tellstone.sources.tables import read_table
 ABBREVIATIONS = ["cf", "Cf", "vgl", "Vgl", "Nr", "nr", "no", "No", "núm", "Núm", "Reg", "pp", "vol", "Vol", "Fig", "bzw", "hrsg"]
 # Signs of omission at the end of a text, with the replacement character of a cut byte sequence.
 OMISSION = r"(?:…|\.\.\.|�|\[\+\d[\d.,]*\s?\p{L}+\]|\[(?:truncated|cut|more|gekürzt|tronqué|ingekort|cortado)\])"
+#: Characters before the end that hold the last token, with its punctuation, and the one before it.
+END_CHARS = 512
 #: A length is taken for a limit of its source if so many texts have it, at least half of them without an end.
 LIMIT_TEXTS = 5
 
 
 def bare_end(text: Column) -> Column:
-    """Text without blanks, invisible characters and markup at its end."""
+    """Text without blanks, invisible characters and markup at its end; only text that ends in such is searched for them."""
     gone = r"[\s\p{Z}\p{Cf}\p{Cc}]"
-    return F.regexp_replace(text, rf"(?<!{gone})(?:{gone}++|<[^<>]*>|&nbsp;)++$", "")
+    bare = F.regexp_replace(text, rf"(?<!{gone})(?:{gone}++|<[^<>]*>|&nbsp;)++$", "")
+    return F.when(F.right(text, F.lit(1)).rlike(r"[\s\p{Z}\p{Cf}\p{Cc}>;]"), bare).otherwise(text)
 
 
 def last_block(body: Column) -> Column:
     """What follows the last line break; texts wrapped into one line have two blanks or more for an empty line."""
-    return F.substring_index(F.regexp_replace(body, r"[\n\r  ]|[\s\p{Z}]{2,}", "\n"), "\n", -1)
+    return F.substring_index(F.regexp_replace(F.substring_index(body, "\n", -1), r"[\r\u2028\u2029]|[\s\p{Z}]{2,}", "\n"), "\n", -1)
 
 
-def _core(token: Column) -> Column:
-    """A token without punctuation around it."""
-    return F.regexp_replace(F.regexp_replace(token, r"^[^\p{L}\p{N}]+", ""), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]+$", "")
+def final_token(block: Column) -> Column:
+    """The last token, without punctuation around it."""
+    return core_of(F.substring_index(F.regexp_replace(block, r"[\s\p{Z}]", " "), " ", -1))
 
 
-def final_token(body: Column) -> Column:
-    """The last token, without punctuation around it."""
-    blanks = "\n\r\t               　"
-    return _core(F.substring_index(F.translate(body, blanks, " " * len(blanks)), " ", -1))
+def core_of(token: Column) -> Column:
+    """A token without punctuation around it."""
+    return F.regexp_replace(F.regexp_replace(token, r"^[^\p{L}\p{N}]+", ""), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]+$", "")
 
 
 def closing_line(block: Column) -> Column:
     """The state, signature or subjects that close a text, from their sign on, or empty."""
-    return F.regexp_extract(block, r"(?:^|\s)(\$\s[^$]*|—\s\p{Lu}[^\s—]*(?:\s[^\s—.!?]+){0,4}|#\s\p{Lu}[^#.!?]*)$", 1)
+    found = F.regexp_extract(block, r"(?:^|\s)(\$\s[^$]*|—\s\p{Lu}[^\s—]*(?:\s[^\s—.!?]+){0,4}|#\s\p{Lu}[^#.!?]*)$", 1)
+    has = F.contains(block, F.lit("$")) | F.contains(block, F.lit("—")) | F.contains(block, F.lit("#"))
+    return F.when(has, found).otherwise("")
 
 
-def end_of_text(body: Column, block: Column) -> Column:
+def end_of_text(block: Column) -> Column:
     """How a text ends: ``marked`` (omission), ``line`` (open transliteration line), ``open``, ``closing`` or ``finished``."""
     closers = r"[\s\p{Z}]?[\"'”“’»›)\]]*"
-    finished = block.rlike(rf"[.!?]{closers}$|[)\]]{closers}$")
+    tail = F.right(block, F.lit(END_CHARS))  # for what only concerns the last token
+    finished = tail.rlike(rf"[.!?]{closers}$|[)\]]{closers}$")
     # a quotation counts as unclosed if no other sentence follows the one that it opens with
     odd_quotes = (F.length(block) - F.length(F.replace(block, F.lit('"'), F.lit("")))) % 2 == 1
     unclosed = (
@@ -56,11 +61,11 @@ def end_of_text(body: Column, block: Column) -> Column:
         | block.rlike(r"(?:^|\s)'(?=[\p{Lu}¿¡])[^'.!?]*[.!?]?$")
         | (odd_quotes & block.rlike(r'"[^".!?]*[.!?]?$'))
     )
-    abbreviated = block.rlike(rf"(?:^|[\s\p{{Z}}(])(?:{'|'.join(ABBREVIATIONS)})\.$")
+    abbreviated = tail.rlike(rf"(?:^|[\s\p{{Z}}(])(?:{'|'.join(ABBREVIATIONS)})\.$")
     numbered = block.rlike(r"^\s*\d+'?(?:\.|$)(?:\s|$)")
-    bare_number = block.rlike(r"(?:[.!?][\"'”“’»›)\]]*|\p{No}|-\S*)\s+\d+'?\.$")
+    bare_number = tail.rlike(r"(?:[.!?][\"'”“’»›)\]]*|\p{No}|-\S*)\s+\d+'?\.$")
     return (
-        F.when(body.rlike(rf"{OMISSION}{closers}$"), "marked")
+        F.when(tail.rlike(rf"{OMISSION}{closers}$"), "marked")
         .when(closing_line(block) != "", F.when(block.rlike(r"[;,:\-]$"), "open").otherwise("closing"))
         .when(numbered, "line")
         .when(~finished | unclosed | abbreviated | bare_number, "open")
@@ -68,9 +73,9 @@ def end_of_text(body: Column, block: Column) -> Column:
     )
 
 
-def _stored_words(body: Column) -> Column:
-    """Different tokens of a text but its last, without punctuation around them."""
-    tokens = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"), F.lit(0))
+def _stored_tokens(body: Column) -> Column:
+    """Different tokens of a text but its last, as stored."""
+    tokens = F.split(body, r"[\s\p{Z}]+", -1)
     return F.array_distinct(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))))
 
 
@@ -91,7 +96,7 @@ def truncated(docs: DataFrame) -> DataFrame:
       finished was cut too if its text has such a length and its final token is such a prefix
       (``DE.`` of ``DE.NA``).
 
-    Words count by document, never in the place where a text may have been cut. The trie
+    A word counts once a document and form, never in the place where a text may have been cut. The trie
     holds only nodes that some document ends with, and is joined by shuffle, not sent to
     all tasks. Null, empty and blank texts are not cut; a null source is a source of its own. An
     empty table gives no rows. Repeated texts are judged alike, each for itself.
@@ -100,13 +105,13 @@ def truncated(docs: DataFrame) -> DataFrame:
     body = docs.select("doc_id", "source", "text", bare_end(F.col("text")).alias("body"))
     ends = body.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), "body", last_block(F.col("body")).alias("block"))
     ends = scratch.write(
-        ends.select("doc_id", "source", "chars", "bytes", F.when(F.coalesce(F.col("body"), F.lit("")) == "", "blank").otherwise(end_of_text(F.col("body"), F.col("block"))).alias("end"),
-                    final_token(F.regexp_replace("body", rf"{OMISSION}$", "")).alias("final"), closing_line(F.col("block")).alias("closing"))
+        ends.select("doc_id", "source", "chars", "bytes", F.when(F.coalesce(F.col("body"), F.lit("")) == "", "blank").otherwise(end_of_text(F.col("block"))).alias("end"),
+                    final_token(F.regexp_replace("block", rf"{OMISSION}$", "")).alias("final"), closing_line(F.col("block")).alias("closing"))
     )
     # the trie, as far as texts end in it
     finals = ends.where("end <> 'blank' and final <> ''").select(F.col("final").alias("node")).distinct()
-    known = body.where("body <> ''").select(F.explode(_stored_words(F.col("body"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    known = scratch.write(known)
+    tokens = body.where("body <> ''").select(F.explode(_stored_tokens(F.col("body"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    known = scratch.write(tokens.groupBy(core_of(F.col("token")).alias("word")).agg(F.sum("n").alias("n")).where("word <> ''"))
     inner = known.where("n > 1 and length(word) < 200").select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("node"), F.col("word"))
     inner = inner.where("node <> word").groupBy("node").agg(F.count(F.lit(1)).alias("goes_on"))
     trie = scratch.write(finals.join(inner, "node", "left_semi").join(known.select(F.col("word").alias("node")), "node", "left_anti"))
@@ -115,7 +120,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     spaced = F.split("closing", " ", -1)
     starts = lines.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size(spaced)), lambda i: F.array_join(F.slice(spaced, F.lit(1), i), " "))).alias("start"), "closing").where("start <> closing")
     starts = starts.groupBy(F.col("start").alias("closing")).agg(F.sum("n").alias("longer"))
-    broken = lines.join(starts, "closing").where("longer >= 10 * n").select("closing", F.lit(True).alias("line_broken"))
+    broken = lines.join(starts, "closing").where("longer >= 3 * n").select("closing", F.lit(True).alias("line_broken"))
     is_open = F.col("end").isin("marked", "line", "open")
     limits = None
     for unit in ("chars", "bytes"):
