@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -98,18 +98,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+", -1), lambda w: w != "")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where plain columns would compute it at each mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens, each joined by a blank; empty for fewer than n."""
-    size = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
+        return F.when(F.size(t) >= n, F.transform(places, lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return once(tokens, runs)
 
 
 def share_of(a: Column, b: Column, by: str = "max") -> Column:
     """Common different members over the larger (``max``) or smaller (``min``) number of different members; 0 if either is empty."""
-    a, b = F.array_distinct(a), F.array_distinct(b)
-    of = (F.greatest if by == "max" else F.least)(F.size(a), F.size(b))
-    return F.when(F.least(F.size(a), F.size(b)) > 0, F.size(F.array_intersect(a, b)) / of).otherwise(F.lit(0.0))
+
+    def share(s: Column) -> Column:
+        sizes = F.size(s["a"]), F.size(s["b"])
+        of = (F.greatest if by == "max" else F.least)(*sizes)
+        return F.when(F.least(*sizes) > 0, F.size(F.array_intersect(s["a"], s["b"])) / of).otherwise(F.lit(0.0))
+
+    return once(F.struct(F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b")), share)
 
 
 def tablet_id_of(path: Column) -> Column:

@@ -62,9 +62,10 @@ def _unit_block(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 
 def text_overlaps(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs with word and bigram shares of two texts, over the larger and over the smaller set."""
-    wa, wb = X.words(F.lower(F.col(a))), X.words(F.lower(F.col(b)))
-    ba, bb = X.ngrams(wa, 2), X.ngrams(wb, 2)
-    return pairs.withColumns({f"{kind}_{by}": X.share_of(x, y, by) for kind, x, y in (("words", wa, wb), ("bigrams", ba, bb)) for by in ("max", "min")})
+    split = pairs.withColumns({f"_w{x}": X.words(F.lower(F.col(c))) for x, c in (("a", a), ("b", b))})
+    split = split.withColumns({f"_b{x}": X.ngrams(F.col(f"_w{x}"), 2) for x in "ab"})
+    shares = {f"{kind}_{by}": X.share_of(F.col(f"_{k}a"), F.col(f"_{k}b"), by) for kind, k in (("words", "w"), ("bigrams", "b")) for by in ("max", "min")}
+    return split.withColumns(shares).drop("_wa", "_wb", "_ba", "_bb")
 
 
 def ngram_alignment(pairs: DataFrame, key: list[str], a: str, b: str, n: int = 3) -> DataFrame:
