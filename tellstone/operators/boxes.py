@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,7 +16,7 @@ from tellstone.functions.vectors import iou
 from tellstone.session import Scratch
 
 #: Boxes of one image that one task decides in sequence in a round.
-ROUND_BOXES = 2000
+ROUND_BOXES = 8192
 #: Side of a cell of the grid in which boxes meet.
 CELL = 128
 
@@ -45,17 +48,34 @@ def suppressed(detections: DataFrame, limit: float = OVERLAP_LIMIT, round_boxes:
     todo, kept = scratch.write(rows), None
     types = dict(rows.dtypes)
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True])
-        return pdf[greedy_keep(*(pdf[c].to_numpy(float) for c in ("x", "y", "w", "h")), limit)][columns]
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Boxes that stay; those of an image follow each other, in order."""
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            table = pa.Table.from_batches([b for b in (held, batch) if b is not None]) if held is not None or batch is not None else None
+            if table is None or not table.num_rows:
+                continue
+            whole = table.combine_chunks().to_batches()[0]
+            images = whole.column("image").dictionary_encode().indices.to_numpy()
+            cuts = np.r_[0, np.flatnonzero(images[1:] != images[:-1]) + 1, len(images)]
+            if batch is not None:  # the last image may go on in the next batch
+                held = whole.slice(cuts[-2])
+                cuts = cuts[:-1]
+            sides = [whole.column(c).to_numpy().astype(float) for c in ("x", "y", "w", "h")]
+            keep = np.zeros(len(images), bool)
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                keep[lo:hi] = greedy_keep(*(v[lo:hi] for v in sides), limit)
+            if keep.any():
+                yield whole.filter(pa.array(keep))
 
     while not todo.isEmpty():
         place = F.row_number().over(W.partitionBy("image").orderBy(F.desc("confidence"), "id"))
         first = todo.withColumn("place", place).where(F.col("place") <= round_boxes).drop("place")
         first = scratch.write(first)
-        stays = scratch.write(first.groupBy("image").applyInPandas(decide, ", ".join(f"{c} {types[c]}" for c in columns)))
+        ordered = first.repartition("image").sortWithinPartitions("image", F.desc("confidence"), "id").select(*columns)
+        stays = scratch.write(ordered.mapInArrow(decide, ", ".join(f"{c} {types[c]}" for c in columns)))
         kept = stays if kept is None else kept.unionByName(stays)
-        last = first.groupBy("image").agg(F.min(F.struct("confidence", (-F.lit(1)).alias("_"))).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= round_boxes).select("image")
+        last = first.groupBy("image").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= round_boxes).select("image")
         rest = todo.join(last, "image", "left_semi").join(first.select("image", "id"), ["image", "id"], "left_anti")
         cells = lambda df: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / CELL), F.floor((F.col("x") + F.greatest("w", F.lit(0))) / CELL)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / CELL), F.floor((F.col("y") + F.greatest("h", F.lit(0))) / CELL))))
         other = cells(stays.select("image", *[F.col(c).alias(f"k_{c}") for c in "xywh"], "x", "y", "w", "h")).select("image", "cx", "cy", *[f"k_{c}" for c in "xywh"])

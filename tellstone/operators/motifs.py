@@ -15,8 +15,8 @@ CONTEXT_CHARS = 100
 
 
 def _pattern(pattern: str) -> str:
-    """The pattern for matching within the JVM: word boundaries hold for letters of every script."""
-    parts = pattern.split(r"\b")
+    """The pattern for lower-cased text within the JVM: word boundaries hold for letters of every script."""
+    parts = pattern.lower().split(r"\b")
     return parts[0] if len(parts) == 1 else r"(?<![\p{L}\p{N}_])" + parts[1] + r"(?![\p{L}\p{N}_])" + r"\b".join(parts[2:])
 
 
@@ -32,7 +32,7 @@ def motif_matches(texts: DataFrame) -> DataFrame:
     The 26 patterns are part of the expression; no join is needed. A match of n characters has
     confidence 0.7 + 0.3 min(1, n / 20).
     """
-    found = F.array(*[F.struct(F.lit(m).alias("motif_id"), F.lit(a).alias("archetype"), F.transform(F.regexp_extract_all("full", F.lit("(?i)" + _pattern(p)), F.lit(0)), F.length).alias("lengths")) for m, a, p in MOTIFS])
+    found = F.array(*[F.struct(F.lit(m).alias("motif_id"), F.lit(a).alias("archetype"), F.transform(F.regexp_extract_all("full", F.lit(_pattern(p)), F.lit(0)), F.length).alias("lengths")) for m, a, p in MOTIFS])
     rows = texts.select("text_id", F.explode(F.filter(found, lambda x: F.size(x["lengths"]) > 0)).alias("m"))
     confidence = 0.7 + 0.3 * F.least(F.lit(1.0), F.array_max("m.lengths") / 20.0)
     return rows.select("text_id", "m.motif_id", "m.archetype", F.size("m.lengths").alias("n"), confidence.alias("confidence"))
