@@ -157,7 +157,7 @@ order by {_ACCESSION} desc nulls last, id limit 100 offset 5""",
 select s.id, s.tablet_id, s.sign_type, t.period from {_S} s left join {_T} t on t.id = s.tablet_id
 where s.sign_type in ('wedge', 'vertical') and s.confidence >= 0.6 and t.period in ('OB', 'NA')""",
     "signs_with_period": f"select t.period, s.sign_type, count(*) as n from {_S} s left join {_T} t on t.id = s.tablet_id group by all",
-    "short_texts": f"select id, length(cuneiform) as n_chars from {_T} where length(cuneiform) < 200 and cuneiform <> '' order by 2, 1 limit 3",
+    "short_texts": f"select id, cast(length(cuneiform) as integer) as n_chars from {_T} where length(cuneiform) < 200 and cuneiform <> '' order by 2, 1 limit 3",
     "facet_stats": f"""
 with f as (
   select 'source_corpus' as facet, source_corpus as value from {_C} union all select 'period', period from {_C} union all select 'genre', genre from {_C}

@@ -130,7 +130,7 @@ with u as (
   select 'tablet' as entry_type, trim(transliteration || ' ' || coalesce(cuneiform, '') || ' ' || coalesce(title, '')) as text from {_T} where transliteration <> ''
   union all select 'myth_text', trim(transliteration || ' ' || coalesce(translation, '') || ' ' || coalesce(title, '')) from {_M} where transliteration <> ''
   union all select 'corpus_catalog', trim(transliteration || ' ' || coalesce(translation, '') || ' ' || coalesce(title, '')) from {_C} where transliteration <> '')
-select entry_type, count(*) as n, sum(length(text)) as n_chars from u group by 1""",
+select entry_type, count(*) as n, cast(sum(length(text)) as bigint) as n_chars from u group by 1""",
     "transliteration_counts": f"""
 with u as (select coalesce(source, 'tablets') as source from {_T} where transliteration <> '' union all select coalesce(corpus_source, 'myth_texts') from {_M} where transliteration <> ''
   union all select coalesce(source_corpus, 'corpus_catalog') from {_C} where transliteration <> '')
@@ -139,7 +139,7 @@ select source, count(*) as n from u group by 1""",
     "sign_cooccurrence": f"with {_ALL} select token, context, n from p",
     "context_rules": f"""with {_ALL},
 q as (select p.token, p.context, p.n / n.n as probability from p join n on n.token = p.token where p.n / n.n > 0.01)
-select token, context, least(token, context) || '.' || greatest(token, context) as pattern, round(probability, 4) as probability, row_number() over (partition by token order by q.probability desc, context) as place
+select token, context, least(token, context) || '.' || greatest(token, context) as pattern, round(probability, 4) as probability, cast(row_number() over (partition by token order by q.probability desc, context) as integer) as place
 from q qualify place <= 10""",
     "sign_catalog": f"""with {_ALL},
 t as (select token, n, rank() over (order by n desc) as freq_rank from n)
@@ -155,8 +155,8 @@ v as (select count(*) as v from n),
 g as (select sign_id, reading, exp((""" + " + ".join(f"ln((coalesce((select n from p where p.token = f.token and p.context = '{c}'), 0) + 0.1) / (coalesce(n.n, 0) + 0.1 * v.v))" for c in CONTEXT) + f""") / {len(CONTEXT)}) as w
   from f left join n on n.token = f.token, v),
 h as (select sign_id, reading, w / sum(w) over (partition by sign_id) as posterior from g)
-select sign_id, reading, round(posterior, 6) as posterior, row_number() over (partition by sign_id order by round(h.posterior, 9) desc, reading) as place from h qualify place <= 5""",
+select sign_id, reading, round(posterior, 6) as posterior, cast(row_number() over (partition by sign_id order by round(h.posterior, 9) desc, reading) as integer) as place from h qualify place <= 5""",
     "sign_windows": f"""
 with r as (select id, {_tokens('transliteration')} as w from {_M}), k as (select id, w, unnest(w) as token, generate_subscripts(w, 1) as i from r)
-select id, i - 1 as pos, token, array_to_string(w[greatest(i - 2, 1):i + 2], ' ') as window, array_to_string(list_concat(w[greatest(i - 5, 1):i - 1], w[i + 1:i + 5]), ' ') as context from k""",
+select id, cast(i - 1 as integer) as pos, token, array_to_string(w[greatest(i - 2, 1):i + 2], ' ') as window, array_to_string(list_concat(w[greatest(i - 5, 1):i - 1], w[i + 1:i + 5]), ' ') as context from k""",
 }

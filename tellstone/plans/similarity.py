@@ -101,7 +101,7 @@ SQL = {
     "vector_topk": """
 with v as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null),
 s as (select a.vec_id as id, b.vec_id as neighbour, round(list_cosine_similarity(a.e, b.e), 9) as s from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
-select id, neighbour, round(s, 6) as similarity, row_number() over (partition by id order by s desc, neighbour) as place from s qualify place <= 10""",
+select id, neighbour, round(s, 6) as similarity, cast(row_number() over (partition by id order by s desc, neighbour) as integer) as place from s qualify place <= 10""",
     "text_continuity": f"""with {_PAIRS},
 w as (select a, b, {_WORDS('lower(ta)')} as wa, {_WORDS('lower(tb)')} as wb from x), g as (select *, {_GRAMS('wa', 2)} as ga, {_GRAMS('wb', 2)} as gb from w)
 select a, b, round({_SHARE('wa', 'wb', 'greatest')}, 6) as words_max, round({_SHARE('wa', 'wb', 'least')}, 6) as words_min,
@@ -116,7 +116,7 @@ select g.a, g.b, round(case when least(len(ga), len(gb)) > 0 then least(1.0, 0.6
 with s as (select least(tablet_a, tablet_b) as a, greatest(tablet_a, tablet_b) as b, round(0.3 * coalesce(fracture_complementarity, 0) + 0.5 * coalesce(text_continuity, 0) + 0.2 * coalesce(ngram_alignment, 0), 9) as score
   from join_match where tablet_a <> '' and tablet_b <> '' and tablet_a <> tablet_b),
 p as (select a, b, max(score) as score from s where not isnan(score) group by a, b), e as (select a as tablet_id, b as partner, score from p union all select b, a, score from p)
-select tablet_id, partner, round(score, 6) as score, row_number() over (partition by tablet_id order by e.score desc, partner) as place from e qualify place <= 3""",
+select tablet_id, partner, round(score, 6) as score, cast(row_number() over (partition by tablet_id order by e.score desc, partner) as integer) as place from e qualify place <= 3""",
     "gap_fillers": f"""with {_PAIRS},
 w as (select a, b, {_WORDS('ta')} as wa, {_WORDS('tb')} as wb from x),
 y as (select a, b, list_transform(case when len(wa) > len(wb) then wb else wa end, lambda v: lower(v)) as s, case when len(wa) > len(wb) then wa else wb end as m from w where len(wa) > 0 and len(wb) > 0),

@@ -71,7 +71,7 @@ select r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as reve
 join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey group by 1, 2""",
     "top_customers": """
 with t as (select o_custkey, round(sum(o_totalprice), 2) as total, count(*) as n_orders from orders group by 1)
-select c_nationkey, c_custkey, total, n_orders, row_number() over (partition by c_nationkey order by total desc, c_custkey) as place from t join customer on c_custkey = o_custkey qualify place <= 3""",
+select c_nationkey, c_custkey, total, n_orders, cast(row_number() over (partition by c_nationkey order by total desc, c_custkey) as integer) as place from t join customer on c_custkey = o_custkey qualify place <= 3""",
     "customers_without_orders": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
     "event_days": "select strftime(ts, '%Y-%m-%d') as day, " + ", ".join(f"count(*) filter (event_type = '{k}') as {k}" for k in ("click", "error", "purchase", "signup", "view")) + " from events group by 1",
 }
