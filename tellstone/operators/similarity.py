@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tellstone.constants import EDGE_LEAST
 from tellstone.functions import text as X
 
 #: Vectors of one block of an exact search.
@@ -173,6 +174,22 @@ def label_graph(nodes: DataFrame) -> DataFrame:
     return shared.withColumn("weight", F.round(0.5 + 0.1 * (F.col("n_shared") - 1), 6))
 
 
+def labelled_edges(edges: DataFrame, nodes: DataFrame, least: float = EDGE_LEAST) -> DataFrame:
+    """Semantic edges (a, b, similarity) of at least ``least`` with weight and type.
+
+    The weight is the similarity and 0.1 for each label that both ends have; with such labels the type is
+    ``semantic+motif``, else ``semantic``. Ends without a node have no labels. Edges between
+    records that only share labels are those between their label sets, see ``label_graph``.
+    """
+    strong = edges.where(F.col("similarity") >= least)
+    ends = lambda x: nodes.select(F.col("id").alias(x), F.array_distinct("labels").alias(f"labels_{x}"))
+    joined = strong.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+    shared = F.coalesce(F.size(F.array_intersect("labels_a", "labels_b")), F.lit(0))
+    shared = F.when(shared > 0, shared).otherwise(0)
+    kind = F.when(shared > 0, "semantic+motif").otherwise("semantic")
+    return joined.select("a", "b", F.round(F.col("similarity") + 0.1 * shared, 6).alias("weight"), kind.alias("type"))
+
+
 def graph_stats(edges: DataFrame, a: str, b: str) -> DataFrame:
     """n_nodes, n_edges and density 2 m / (n (n - 1)) of an undirected graph."""
     pairs = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tellstone.constants import COMPOUNDS, GENRES, LANGUAGES, MYTH_LABELS, NO_LABEL, PERIOD_MARKERS, RULE_TEMPLATES
 from tellstone.functions import text as X
 from tellstone.operators import readings as R
+from tellstone.sinks import exports
 from tellstone.sources.tables import catalog, myths, read_table, tablets
 from tellstone.sources.unions import entry_texts, transliterations
 
@@ -66,6 +67,12 @@ def sign_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("sign_id", "unicode", "corpus_frequency", "frequency_rank", F.array_join("sumerian", "|").alias("sumerian"), "observed")
 
 
+def sign_documents(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _all(spark, folder)
+    made = R.sign_catalog(read_table(spark, folder, "prebaked_sign_knowledge"), R.token_totals(rows))
+    return exports.sign_documents(made, R.context_rules(rows))
+
+
 def compound_records(spark: SparkSession, folder: str) -> DataFrame:
     rows = tablets(spark, folder, "transliteration").select(F.upper(F.coalesce("transliteration", F.lit(""))).alias("t"))
     counts = rows.agg(*[F.count_if(F.contains("t", F.lit(c))).alias(f"c{i}") for i, c in enumerate(COMPOUNDS)])
@@ -87,7 +94,7 @@ def sign_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    classified_tablets, tablet_labels, content_ids, text_union_counts, transliteration_counts, token_frequencies, sign_cooccurrence, context_rules, sign_catalog, compound_records,
+    classified_tablets, tablet_labels, content_ids, text_union_counts, transliteration_counts, token_frequencies, sign_cooccurrence, context_rules, sign_catalog, sign_documents, compound_records,
     sign_rules, sign_readings, sign_windows,
 )}
 

@@ -52,6 +52,12 @@ def label_edges(spark: SparkSession, folder: str) -> DataFrame:
     return S.label_graph(tablets(spark, folder, "myth_labels").withColumnRenamed("myth_labels", "labels"))
 
 
+def semantic_edges(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "join_match", "tablet_a", "tablet_b", "join_confidence").where("tablet_a <> '' and tablet_b <> '' and tablet_a <> tablet_b and not isnan(join_confidence)")
+    edges = rows.groupBy(F.least("tablet_a", "tablet_b").alias("a"), F.greatest("tablet_a", "tablet_b").alias("b")).agg(F.max("join_confidence").alias("similarity"))
+    return S.labelled_edges(edges, tablets(spark, folder, "myth_labels").withColumnRenamed("myth_labels", "labels"))
+
+
 def match_graph(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "join_match").where("tablet_a <> '' and tablet_b <> '' and join_confidence >= 0.65 and not isnan(join_confidence)")
     return S.graph_stats(rows, "tablet_a", "tablet_b")
@@ -85,7 +91,7 @@ def kept_signs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, text_continuity, ngram_alignments, best_joins, gap_fillers, label_edges, match_graph, fracture_matches, shape_scalars, component_types, kept_signs,
+    vector_topk, text_continuity, ngram_alignments, best_joins, gap_fillers, label_edges, semantic_edges, match_graph, fracture_matches, shape_scalars, component_types, kept_signs,
 )}
 
 _PAIRS = f"""
@@ -125,6 +131,11 @@ select a, b, case when list_contains(s[greatest(i - 2, 1):i + 2], word) then 'fr
     "label_edges": f"""
 with s as (select distinct list_sort(list_distinct(myth_labels)) as l from {_T} where len(myth_labels) > 0), k as (select array_to_string(l, '|') as name, unnest(l) as label from s)
 select a.name as set_1, b.name as set_2, count(*) as n_shared, round(0.5::double + 0.1 * (count(*) - 1), 6) as weight from k a join k b on a.label = b.label and a.name < b.name group by 1, 2""",
+    "semantic_edges": f"""
+with p as (select least(tablet_a, tablet_b) as a, greatest(tablet_a, tablet_b) as b, max(join_confidence) as s from join_match
+  where tablet_a <> '' and tablet_b <> '' and tablet_a <> tablet_b and not isnan(join_confidence) group by 1, 2),
+x as (select a, b, s, coalesce(len(list_intersect(list_distinct(t.myth_labels), list_distinct(u.myth_labels))), 0) as k from p left join {_T} t on t.id = a left join {_T} u on u.id = b where s >= 0.65)
+select a, b, round(s + 0.1::double * k, 6) as weight, case when k > 0 then 'semantic+motif' else 'semantic' end as type from x""",
     "match_graph": """
 with p as (select distinct least(tablet_a, tablet_b) as a, greatest(tablet_a, tablet_b) as b from join_match where tablet_a <> '' and tablet_b <> '' and tablet_a <> tablet_b and join_confidence >= 0.65 and not isnan(join_confidence)),
 n as (select count(*) as n_nodes from (select a from p union select b from p)), m as (select count(*) as n_edges from p)

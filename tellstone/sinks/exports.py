@@ -94,6 +94,16 @@ def deposition(tablets: DataFrame) -> DataFrame:
     return totals.crossJoin(counts("language")).crossJoin(counts("genre")).select(F.to_json(F.struct("*")).alias("value"))  # one row each
 
 
+def sign_documents(catalog: DataFrame, rules: DataFrame) -> DataFrame:
+    """sign_id and ``value``: a JSON document a sign, with readings, counts and its context rules, at most ten, in order.
+
+    ``catalog`` is made by ``readings.sign_catalog``, ``rules`` by ``readings.context_rules``.
+    """
+    listed = rules.groupBy(F.col("token").alias("sign_id")).agg(F.array_sort(F.collect_list(F.struct("place", "pattern", "probability"))).alias("context_rules"))
+    joined = catalog.join(listed, "sign_id", "left")
+    return joined.select("sign_id", F.to_json(F.struct(*[c for c in catalog.columns], F.coalesce("context_rules", F.array().cast("array<struct<place:int,pattern:string,probability:double>>")).alias("context_rules"))).alias("value"))
+
+
 def replace_keys(rows: DataFrame, path: str, key: str) -> None:
     """Overwrite only the folders of the keys in the rows; the rest of the table stays."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
