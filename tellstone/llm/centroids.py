@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 #: Parts a cluster is split into at a time, and rounds of refining them.
 BRANCHES, ROUNDS = 8, 4
-#: Neighbours of a centroid in the graph, and candidates kept during a search.
+#: Neighbours of a centroid in the graph, and candidates kept during a search at least (more for many centroids).
 DEGREE, WIDTH = 16, 24
 
 
@@ -71,10 +73,15 @@ class CentroidGraph:
         ids = np.full((len(queries), count), -1, np.int32)
         sims = np.full((len(queries), count), -2, np.float32)
         for at in range(0, len(queries), 512):
-            i, s = self._beam(queries[at : at + 512], max(count, WIDTH))
+            i, s = self._beam(queries[at : at + 512], max(2 * count, WIDTH, math.isqrt(len(self.centroids))))
             ids[at : at + 512, : i.shape[1]], sims[at : at + 512, : i.shape[1]] = i[:, :count], s[:, :count]
         return ids, sims
 
+    def within(self, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a centroid at most ``ratio`` times as far as its nearest: all of them, by a matrix product."""
+        far = np.sqrt(np.maximum(0, 2 - 2 * (queries @ self.centroids.T)))
+        return np.nonzero(far <= far.min(axis=1, keepdims=True) * ratio)
+
     def _beam(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(q), len(self.centroids)
         width = min(width, k)

@@ -21,25 +21,37 @@ SAMPLE_EVERY, SAMPLE_LEAST, SAMPLE_MOST = 16, 4096, 65_536
 LIST_SIZE = 512
 NEIGHBOURS = 10
 FOUND_SIMILARITY = 0.92
+#: Vectors whose lists are chosen at once.
+ROWS_AT_ONCE = 512
 _POSTING, _QUERY = 1, 2
 
 
 @dataclass(frozen=True)
 class Reach:
-    """Which lists a vector goes to: those at most ``ratio`` times as far as the nearest, and at most so many."""
+    """Which lists a vector goes to: those at most ``ratio`` times as far as the nearest, and at most so many (None: all of them)."""
 
     ratio: float
-    most: int
+    most: int | None
 
 
 #: Lists in which a vector is kept, and lists in which the neighbours of one are sought.
-POSTINGS, PROBES, CLOSE_PROBES = Reach(1.05, 4), Reach(1.35, 24), Reach(1.05, 4)
+POSTINGS, PROBES, CLOSE_PROBES = Reach(1.05, 4), Reach(1.35, None), Reach(1.05, 4)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _lists(graph: CentroidGraph, x: np.ndarray, reach: Reach) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row of ``x`` and a list that it reaches."""
+    if reach.most is None:
+        return graph.within(x, reach.ratio)
+    ids, sims = graph.search(x, reach.most)
+    far = np.where(ids >= 0, np.sqrt(np.maximum(0, 2 - 2 * sims)), np.inf)
+    row, at = np.nonzero((far <= far[:, :1] * reach.ratio) & (ids >= 0))
+    return row, ids[row, at]
+
+
 def _assigner(index: object, postings: Reach, probes: Reach) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (list, role, id, vector) for the lists of each vector: columns id, kind, query and vec come in."""
 
@@ -52,19 +64,22 @@ def _assigner(index: object, postings: Reach, probes: Reach) -> Callable[[Iterat
                 part = batch.filter(pa.compute.equal(batch.column("kind"), kind))
                 first, graph = graphs[kind]
                 x = unit(_matrix(part.column("vec"), graph.centroids.shape[1]))
-                ids, sims = graph.search(x, max(postings.most, probes.most))
-                far = np.where(ids >= 0, np.sqrt(np.maximum(0, 2 - 2 * sims)), np.inf)
-                place = np.arange(far.shape[1])
-                near = lambda reach: (far <= far[:, :1] * reach.ratio) & (place < reach.most) & (ids >= 0)  # noqa: B023, E731
-                asks = part.column("query").to_numpy(zero_copy_only=False)
-                role = near(postings) * _POSTING + (near(probes) & asks[:, None]) * _QUERY
-                row, at = np.nonzero(role)
+                asks, own, n = part.column("query").to_numpy(zero_copy_only=False), part.column("id"), len(graph.centroids)
                 raw = x.astype(np.float16)
                 bytes_ = raw.shape[1] * 2
-                for lo in range(0, len(row), 50_000):
-                    r, a = row[lo : lo + 50_000], at[lo : lo + 50_000]
-                    vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bytes_), len(r), [None, pa.py_buffer(raw[r].tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(first + ids[r, a], pa.int32()), pa.array(role[r, a], pa.int8()), part.column("id").take(pa.array(r)), vectors], ["list", "role", "id", "vec"])
+                for at in range(0, len(x), ROWS_AT_ONCE):
+                    block = slice(at, at + ROWS_AT_ONCE)
+                    ask = at + np.flatnonzero(asks[block])
+                    row, to = _lists(graph, x[block], postings)
+                    kept = (at + row) * n + to
+                    row, to = _lists(graph, x[ask], probes)
+                    sought = ask[row] * n + to
+                    pairs = np.union1d(kept, sought)
+                    role = np.isin(pairs, kept) * _POSTING + np.isin(pairs, sought) * _QUERY
+                    for lo in range(0, len(pairs), 50_000):
+                        r, to = np.divmod(pairs[lo : lo + 50_000], n)
+                        vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bytes_), len(r), [None, pa.py_buffer(raw[r].tobytes())]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(first + to, pa.int32()), pa.array(role[lo : lo + 50_000], pa.int8()), own.take(pa.array(r)), vectors], ["list", "role", "id", "vec"])
 
     import pyarrow.compute  # noqa: F401
 
@@ -139,9 +154,10 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS, least: float | None
 
     * Posting lists: balanced clusters, fitted on a bounded sample by splitting clusters
       until they are small; every vector is indexed. A vector at a boundary is kept in all lists that are
-      hardly farther than its nearest (``postings``); a query reads the lists within a
-      distance ratio (``probes``). Nearest centroids come from a beam search over a graph in
-      memory. Only centroids and their graph go to all tasks: at most 2 SAMPLE_MOST / 8 for a kind.
+      hardly farther than its nearest (``postings``); a query reads all lists within a
+      distance ratio (``probes``), however many there are: for these it is compared with every
+      centroid. Where a number bounds the lists, nearest centroids come from a beam search over a
+      graph in memory. Only centroids and their graph go to all tasks: at most 2 SAMPLE_MOST / 8 for a kind.
     * A row goes to a list once, whether it is posting, query or both, and lists meet
       as groups, each a matrix product.
     * Vectors stored again are searched once; their copies share the result and are

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tellstone.llm import neighbours
 from tellstone.llm.centroids import CentroidGraph, balanced_centroids, unit
 from tellstone.llm.neighbours import FOUND_SIMILARITY, CLOSE_PROBES, nearest_vectors, p1_nearest
 
@@ -32,6 +33,19 @@ def test_recall(spark, shape):
     assert np.mean(hits) / 10 >= 0.9 and all(len(v) == 10 for v in got.values()) and len(got) == 300
 
 
+def test_recall_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 64)
+    rng = np.random.default_rng(6)
+    n, d = 6000, 64
+    x = rng.normal(size=(n, d))
+    got = {}
+    for r in nearest_vectors(frame(spark, [(i, "a", v, d) for i, v in enumerate(x)]), queries=F.col("id") % 20 == 0).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    u = unit(x)
+    hits = [len(got[i] & set(true_neighbours(u, i, 10).tolist())) for i in range(0, n, 20)]
+    assert np.mean(hits) / 10 >= 0.9
+
+
 def test_recall_on_the_data(spark, folder):
     rows = spark.read.parquet(f"{folder}/prebaked_embeddings.parquet").select("id", "embedding_type", "embedding", "embedding_dim").collect()
     by = {}
