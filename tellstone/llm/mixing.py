@@ -73,8 +73,10 @@ class MinCostFlow:
 def route(patterns: dict[tuple[str, ...], int], shares: dict[str, float], repeats: dict[str, int], total: int) -> dict[tuple[tuple[str, ...], str, int], int]:
     """Tokens of each membership pattern that each source takes in each round of use.
 
-    The k-th use of a text costs k, so that no text is used again while others are left; a source
-    takes part in its first ``repeats`` rounds only.
+    A pattern names the sources that hold a text; one that names a source twice is of further copies. The k-th use of
+    a text costs k, that of a further copy k + 1, so that no text is used again while others are left. A source uses
+    each document of its own ``repeats`` times at most. Takings follow each other round and round the
+    texts of a pattern, so one of at most r times its tokens meets no text more than r times.
     """
     flow, nodes = MinCostFlow(), {}
     node = lambda x: nodes.setdefault(x, len(nodes))
@@ -83,18 +85,26 @@ def route(patterns: dict[tuple[str, ...], int], shares: dict[str, float], repeat
     for source, share in sorted(shares.items()):
         flow.add(node(("source", source)), end, int(share * total), 0)
     for pattern, tokens in sorted(patterns.items()):
-        for k in range(1, 1 + max((repeats[s] for s in pattern), default=0)):
-            flow.add(start, node((pattern, k)), tokens, k)
-            for s in pattern:
-                if k <= repeats[s]:
-                    taken[pattern, s, k] = (flow.add(node((pattern, k)), node(("source", s)), tokens, 0), tokens)
+        sources = sorted(set(pattern))
+        for k in range(1, 1 + sum(repeats[s] for s in sources)):
+            flow.add(start, node(pattern), tokens, k + (len(sources) < len(pattern)))
+        for s in sources:
+            taken[pattern, s] = (flow.add(node(pattern), node(("source", s)), tokens * repeats[s], 0), tokens * repeats[s])
     flow.run(start, end)
-    return {key: before - arc.room for key, (arc, before) in taken.items() if before > arc.room}
+    out, used = {}, defaultdict(int)
+    for (pattern, s), (arc, before) in taken.items():
+        at, tokens = used[pattern], patterns[pattern]
+        used[pattern] = upto = at + before - arc.room
+        while at < upto:
+            stop = min(upto, (at // tokens + 1) * tokens)
+            out[pattern, s, at // tokens + 1] = stop - at
+            at = stop
+    return out
 
 
 def largest_total(patterns: dict[tuple[str, ...], int], shares: dict[str, float], repeats: dict[str, int]) -> int:
     """The largest total at which every source can fill its share."""
-    low, high = 0, 1 + sum(tokens * max(repeats[s] for s in pattern) for pattern, tokens in patterns.items())
+    low, high = 0, 1 + sum(tokens * sum(repeats[s] for s in set(pattern)) for pattern, tokens in patterns.items())
     while high - low > 1:
         mid = (low + high) // 2
         wanted = sum(int(share * mid) for share in shares.values())
@@ -117,19 +127,20 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 1, totals: dict[str,
     ``docs`` has doc_id (unique), text, source and n_tokens (``encoded(..., lengths_only=True)`` keeps no text, so it
     is joined by the caller or given as two hashes h1, h2); ``targets`` has mix_name, source, target_weight, max_repeats.
 
-    * Equal texts are one text that may belong to several sources. Texts of the same set of sources
-      make one pattern; only the tokens of each pattern come to the driver, at most 2 ** sources a
-      mix. There a min-cost flow sends tokens from patterns to the quotas of the sources, where the k-th use
-      costs k and a source takes at most max_repeats uses.
+    * Equal texts are one text that may belong to several sources, by the document of each with the smallest id;
+      further copies in a source stand for themselves. Texts of the same set of sources
+      make one pattern, further copies of a source another; only the tokens of each pattern come to the driver, at
+      most 2 ** sources a mix and one a source. There a min-cost flow sends tokens from patterns to the quotas of
+      the sources, where the k-th use costs k, one more for copies, and each document may be used max_repeats times.
     * Without ``totals`` a mix is as large as it can be with every source that has text at its share;
       with them quotas are shares of the given total, and a source that can't fill its own stays below.
       Weights need not add up to 1; sources without text, weight or repeats are left out and the others keep
       their proportions.
     * Texts of a pattern stand in an order seeded by ``seed``; each source takes the texts that begin within
-      its stretch of tokens in each round. Running sums are made by buckets of the order, so no task holds a
+      its stretch of tokens in each round; stretches follow each other round and round. Running sums are made by buckets of the order, so no task holds a
       whole source. Shares are met up to one text a stretch.
 
-    A source takes the copy of its own with the smallest id, at most max_repeats times. Documents without
+    A source takes only documents of its own, each at most max_repeats times. Documents without
     tokens or source are never used. Repeated targets of a source count once (largest
     weight, largest max_repeats). An empty input gives no rows.
     """
@@ -143,16 +154,21 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 1, totals: dict[str,
     for mix, source, weight, repeats in listed:
         by_mix[mix][source] = (float(weight), int(repeats))
     wanted = spark.createDataFrame([(m, s) for m in sorted(by_mix) for s in sorted(by_mix[m])], "mix_name string, source string")
-    own = docs.where("n_tokens > 0 and source is not null").groupBy("h1", "h2", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").cast("long").alias("n_tokens"))
-    texts = own.join(F.broadcast(wanted), "source").groupBy("mix_name", "h1", "h2").agg(F.max("n_tokens").alias("n_tokens"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "doc_id")))).alias("owners"))
-    order = F.xxhash64(F.lit(seed), "h1", "h2")
-    texts = scratch.write(texts.withColumn("pattern", F.to_json(F.map_keys("owners"))).withColumn("order", order))
-    sums = texts.groupBy("mix_name", "pattern").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.first(F.map_keys("owners")).alias("sources")).limit(MOST_PATTERNS + 1).collect()
+    sized = docs.where("n_tokens > 0 and source is not null").select("doc_id", "source", "h1", "h2", F.col("n_tokens").cast("long").alias("n_tokens"))
+    sized = scratch.write(sized.join(F.broadcast(wanted.select("source").distinct()), "source", "left_semi"))
+    own = sized.groupBy("h1", "h2", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
+    owners = F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "doc_id"))))
+    texts = own.join(F.broadcast(wanted), "source").groupBy("mix_name", "h1", "h2").agg(F.max("n_tokens").alias("n_tokens"), owners.alias("owners"))
+    texts = texts.withColumn("copy", F.lit(None).cast("long")).withColumn("order", F.xxhash64(F.lit(seed), "h1", "h2"))
+    copies = sized.join(own.select("doc_id"), "doc_id", "left_anti").join(F.broadcast(wanted), "source")
+    copies = copies.select("mix_name", "h1", "h2", "n_tokens", F.create_map("source", "doc_id").alias("owners"), F.col("doc_id").alias("copy"), F.xxhash64(F.lit(seed), "h1", "h2", "doc_id").alias("order"))
+    texts = scratch.write(texts.unionByName(copies).withColumn("pattern", F.concat(F.when(F.col("copy").isNull(), "").otherwise("copies "), F.to_json(F.map_keys("owners")))))
+    sums = texts.groupBy("mix_name", "pattern").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.first(F.map_keys("owners")).alias("sources"), F.max(F.col("copy").isNotNull()).alias("copies")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     plan = []
     for mix, goal in sorted(by_mix.items()):
-        rows = {tuple(r["sources"]): r for r in sums if r["mix_name"] == mix}
+        rows = {tuple(r["sources"]) * (1 + r["copies"]): r for r in sums if r["mix_name"] == mix}
         patterns = {p: r["tokens"] for p, r in rows.items()}
         there = {s for p in patterns for s in p}
         if not there:
@@ -172,10 +188,10 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 1, totals: dict[str,
     key = ["mix_name", "pattern"]
     buckets = texts.groupBy(*key, "bucket").agg(F.sum("n_tokens").alias("size"))
     buckets = buckets.withColumn("before", F.coalesce(F.sum("size").over(W.partitionBy(*key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    running = W.partitionBy(*key, "bucket").orderBy("order", "h1", "h2").rowsBetween(W.unboundedPreceding, -1)
+    running = W.partitionBy(*key, "bucket").orderBy("order", "h1", "h2", "copy").rowsBetween(W.unboundedPreceding, -1)
     placed = texts.withColumn("within", F.coalesce(F.sum("n_tokens").over(running), F.lit(0))).join(buckets, [*key, "bucket"]).withColumn("at", F.col("before") + F.col("within"))
     used = placed.join(F.broadcast(stretches), key).where("at >= first and at < end")
-    return used.groupBy("mix_name", "h1", "h2", "source").agg(F.first("n_tokens").alias("n_tokens"), F.first("owners").alias("owners"), F.count(F.lit(1)).cast("int").alias("times")).select(
+    return used.groupBy("mix_name", "h1", "h2", "copy", "source").agg(F.first("n_tokens").alias("n_tokens"), F.first("owners").alias("owners"), F.count(F.lit(1)).cast("int").alias("times")).select(
         "mix_name", F.try_element_at("owners", "source").alias("doc_id"), "source", "n_tokens", "times"
     )
 

@@ -88,6 +88,14 @@ def test_mix(spark):
     assert abs(given - 300) <= 120
 
 
+def test_mix_uses_copies(spark):
+    rows = [(i, "a", 10, 5) for i in range(6)] + [(10 + i, "b", 10, 5 if i < 2 else 100 + i) for i in range(8)] + [(30, "a", 10, 9)]
+    docs = spark.createDataFrame([(i, s, n, h, h * 7) for i, s, n, h in rows], "doc_id long, source string, n_tokens int, h1 long, h2 long")
+    targets = spark.createDataFrame([("m", "a", 7.0, 2), ("m", "b", 8.0, 2)], "mix_name string, source string, target_weight double, max_repeats int")
+    chosen = mixed(docs, targets).collect()  # all documents twice give just these shares
+    assert {(r["doc_id"], r["source"], r["times"]) for r in chosen} == {(i, s, 2) for i, s, _, _ in rows}
+
+
 SENTENCES = ["The copyist repeats the name of the ruler.", "A later hand omits the offering list (in line 12).", "Is it certain that the scribe mentions the prayer?", "The envoy describes a small delivery of barley cf. no. 12 of the same lot."]
 
 
