@@ -121,7 +121,7 @@ _PLAN = T.StructType([
 ])
 
 
-def mixed(docs: DataFrame, targets: DataFrame, seed: int = 1, totals: dict[str, int] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, targets: DataFrame, seed: int = 1, totals: dict[str, int] | None = None, whole: bool = False) -> DataFrame:
     """The selection: mix_name, doc_id, source, n_tokens, times.
 
     ``docs`` has doc_id (unique), text, source and n_tokens (``encoded(..., lengths_only=True)`` keeps no text, so it
@@ -133,7 +133,8 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 1, totals: dict[str,
       most 2 ** sources a mix and one a source. There a min-cost flow sends tokens from patterns to the quotas of
       the sources, where the k-th use costs k, one more for copies, and each document may be used max_repeats times.
     * Without ``totals`` a mix is as large as it can be with every source that has text at its share;
-      with them quotas are shares of the given total, and a source that can't fill its own stays below.
+      with them quotas are shares of the given total, and a source that can't fill its own stays below. With
+      ``whole`` the total of a mix not in ``totals`` is that of all documents of its sources, each once.
       Weights need not add up to 1; sources without text, weight or repeats are left out and the others keep
       their proportions.
     * Texts of a pattern stand in an order seeded by ``seed``; each source takes the texts that begin within
@@ -176,7 +177,7 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 1, totals: dict[str,
         weights = {s: goal[s][0] for s in there}
         shares = {s: w / sum(weights.values()) for s, w in weights.items()}
         repeats = {s: goal[s][1] for s in there}
-        total = (totals or {}).get(mix) or largest_total(patterns, shares, repeats)
+        total = (totals or {}).get(mix) or (sum(patterns.values()) if whole else 0) or largest_total(patterns, shares, repeats)
         reached: dict[tuple, int] = defaultdict(int)
         for (pattern, source, k), tokens in sorted(route(patterns, shares, repeats, total).items()):
             at = reached[pattern, k]
@@ -222,5 +223,15 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(mixed(_sized(spark, folder), targets), targets)
 
 
-QUERIES = {"p9_selection": p9_selection, "p9_shares": p9_shares}
+def p9_available(spark: SparkSession, folder: str) -> DataFrame:
+    """A selection of as many tokens as there are: short sources are repeated as often as they may be, and fall short."""
+    return mixed(_sized(spark, folder), read_table(spark, folder, "mix_targets"), whole=True)
+
+
+def p9_available_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = read_table(spark, folder, "mix_targets")
+    return reached_shares(mixed(_sized(spark, folder), targets, whole=True), targets)
+
+
+QUERIES = {"p9_selection": p9_selection, "p9_shares": p9_shares, "p9_available": p9_available, "p9_available_shares": p9_available_shares}
 SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tellstone.llm.bytepairs import TextEncoder, encoded, split_pattern, vocabulary_path
+from tellstone.llm import registry
 from tellstone.llm.mixing import largest_total, mixed, reached_shares, route
 from tellstone.llm.truncation import truncated
 
@@ -96,6 +97,17 @@ def test_mix_uses_copies(spark):
     assert {(r["doc_id"], r["source"], r["times"]) for r in chosen} == {(i, s, 2) for i, s, _, _ in rows}
 
 
+def test_mix_of_all_there_is(spark, folder):
+    rows = [(i, "long", 10, i) for i in range(100)] + [(200, "short", 10, 200)]
+    docs = spark.createDataFrame([(i, s, n, h, h * 7) for i, s, n, h in rows], "doc_id long, source string, n_tokens int, h1 long, h2 long")
+    targets = spark.createDataFrame([("m", "long", 1.0, 1), ("m", "short", 1.0, 3)], "mix_name string, source string, target_weight double, max_repeats int")
+    shares = {r["source"]: r for r in reached_shares(mixed(docs, targets, whole=True), targets).collect()}
+    assert shares["short"]["tokens"] == 30 and shares["short"]["most_times"] == 3 and 500 <= shares["long"]["tokens"] <= 510
+    assert shares["short"]["actual_share"] < 0.06 < shares["short"]["target_share"] == 0.5
+    reached = registry.QUERIES["p9_available_shares"](spark, folder).collect()
+    assert any(0 < r["actual_share"] < 0.9 * r["target_share"] for r in reached)
+
+
 SENTENCES = ["The copyist repeats the name of the ruler.", "A later hand omits the offering list (in line 12).", "Is it certain that the scribe mentions the prayer?", "The envoy describes a small delivery of barley cf. no. 12 of the same lot."]
 
 
