@@ -97,7 +97,8 @@ def truncated(docs: DataFrame) -> DataFrame:
       (``DE.`` of ``DE.NA``).
 
     A word counts once a document and form, never in the place where a text may have been cut. The trie
-    holds only nodes that some document ends with, and is joined by shuffle, not sent to
+    holds all words, however rare or long, but only nodes that some document ends with (prefixes of the lengths that
+    unknown final tokens have), and is joined by shuffle, not sent to
     all tasks. Null, empty and blank texts are not cut; a null source is a source of its own. An
     empty table gives no rows. Repeated texts are judged alike, each for itself.
     """
@@ -109,12 +110,13 @@ def truncated(docs: DataFrame) -> DataFrame:
                     final_token(F.regexp_replace("block", rf"{OMISSION}$", "")).alias("final"), closing_line(F.col("block")).alias("closing"))
     )
     # the trie, as far as texts end in it
+    tokens = body.where("body <> ''").select(F.explode(_stored_tokens(F.col("body"))).alias("token")).distinct()
+    known = scratch.write(tokens.select(core_of(F.col("token")).alias("word")).where("word <> ''").distinct())
     finals = ends.where("end <> 'blank' and final <> ''").select(F.col("final").alias("node")).distinct()
-    tokens = body.where("body <> ''").select(F.explode(_stored_tokens(F.col("body"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    known = scratch.write(tokens.groupBy(core_of(F.col("token")).alias("word")).agg(F.sum("n").alias("n")).where("word <> ''"))
-    inner = known.where("n > 1 and length(word) < 200").select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("node"), F.col("word"))
-    inner = inner.where("node <> word").groupBy("node").agg(F.count(F.lit(1)).alias("goes_on"))
-    trie = scratch.write(finals.join(inner, "node", "left_semi").join(known.select(F.col("word").alias("node")), "node", "left_anti"))
+    finals = scratch.write(finals.join(known.select(F.col("word").alias("node")), "node", "left_anti"))
+    sizes = finals.select(F.length("node").alias("size")).distinct()
+    inner = known.join(F.broadcast(sizes), F.col("size") < F.length("word")).select(F.substring(F.col("word"), F.lit(1), F.col("size")).alias("node"))
+    trie = scratch.write(finals.join(inner.distinct(), "node", "left_semi"))
     # the same for whole closing lines: one that many longer lines begin with, word by word, stops early
     lines = scratch.write(ends.where("end = 'closing' and (closing like '$%' or closing like '—%')").groupBy("closing").agg(F.count(F.lit(1)).alias("n")))
     spaced = F.split("closing", " ", -1)

@@ -151,3 +151,9 @@ def test_words_of_the_corpus(spark):
     n = len(whole)
     assert [got[n + i]["cut_in"] for i in range(4)] == ["word", "sentence", "word", "sentence"] and not got[n + 5]["cut"]
     assert truncated(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_rare_and_long_words_of_the_corpus(spark):
+    long = "ka" * 150
+    got = judge(spark, ["A word that stands once is zamirtuku here.", f"A sign row {long} is long.", "The scribe omits it.\n$ single zamirt", f"The scribe omits it.\n$ single {long[:250]}"])
+    assert [got[i]["cut_in"] for i in range(4)] == [None, None, "word", "word"]
