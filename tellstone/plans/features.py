@@ -32,12 +32,12 @@ def distance_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def visual_word_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares of eight visual words, each vector of an image in four descriptors."""
+    """Shares of 256 visual words, each vector of an image in four descriptors."""
     rows = latest_by_id(read_table(spark, folder, "spijkerschrift_visueel"), "id", "created_at", "visual_embedding").where("size(visual_embedding) >= 8")
     part = F.floor(F.size("visual_embedding") / 4).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("visual_embedding", i * part + 1, part))
     descriptors = rows.select(F.col("id").alias("image_id"), F.explode(pieces).alias("descriptor"))
-    return E.visual_words(descriptors, k=8).withColumn("share", F.round("share", 6))
+    return E.visual_words(descriptors).withColumn("share", F.round("share", 6))
 
 
 QUERIES = {f.__name__: f for f in (term_neighbours, distance_findings, visual_word_shares)}

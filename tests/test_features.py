@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tellstone.operators import features as E
+from tellstone.plans.features import visual_word_shares
 
 
 def test_terms(spark):
@@ -47,6 +48,11 @@ def test_visual_words(spark):
     assert {r["image_id"]: r["share"] for r in shares} == {f"i{n}": 1.0 for n in range(4)}
 
 
+def test_visual_words_of_the_query(spark, folder):
+    words = {r["word"] for r in visual_word_shares(spark, folder).collect()}
+    assert 8 < len(words) <= 256
+
+
 def test_models_from_outside(spark):
     class Lengths:
         def encode(self, texts):
