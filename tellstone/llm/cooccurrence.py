@@ -179,17 +179,28 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.where("n_ab >= 5 and n_ab * 200 >= n and n_ab * n >= 3 * n_a * n_b").select("term_a", "term_b")
 
 
-QUERIES = {"p3_found": p3_found}
-SQL = {
-    "p3_found": f"""
+def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two signs that stand in the same record, with counts and lift."""
+    pairs = cooccurrence(sign_records(spark, folder, "tablets", "corpus_catalog"))
+    return pairs.select("term_a", "term_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs}
+_COUNTED = f"""
 with r as (
   select 'tablets' as t, id, any_value(transliteration) as x from tablets group by id
   union all select 'corpus_catalog', cast(id as varchar), any_value(transliteration) from corpus_catalog group by id),
 s as (select t, id, unnest(list_distinct({signs_sql(clean_sql('x'))})) as term from r where x is not null),
 n as (select count(*) as n from (select distinct t, id from s)),
 f as (select term, count(*) as n_term from s group by term),
-p as (select a.term as term_a, b.term as term_b, count(*) as n_ab from s a join s b on a.t = b.t and a.id = b.id and a.term < b.term group by all)
+p as (select a.term as term_a, b.term as term_b, count(*) as n_ab from s a join s b on a.t = b.t and a.id = b.id and a.term < b.term group by all)"""
+SQL = {
+    "p3_found": f"""{_COUNTED}
 select term_a, term_b from p join f a on a.term = term_a join f b on b.term = term_b, n
 where n_ab >= 5 and n_ab * 200 >= n and n_ab * n >= 3 * a.n_term * b.n_term
-"""
+""",
+    "p3_pairs": f"""{_COUNTED}
+select term_a, term_b, n_ab, a.n_term as n_a, b.n_term as n_b, round(n_ab * n / (a.n_term * b.n_term), 6) as lift
+from p join f a on a.term = term_a join f b on b.term = term_b, n
+""",
 }

@@ -6,6 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from tellstone.llm import registry
 from tellstone.llm.components import connected_components, usable_links
 from tellstone.llm.cooccurrence import cooccurrence
 from tellstone.llm.neardup import near_duplicates, word_pairs
@@ -35,6 +36,12 @@ def test_cooccurrence_of_nothing(spark):
     assert cooccurrence(df).count() == 0 and cooccurrence(df, 5, 0.005).count() == 0
 
 
+def test_all_pairs_of_signs(spark, folder):
+    rows = registry.QUERIES["p3_pairs"](spark, folder)
+    assert rows.columns == ["term_a", "term_b", "n_ab", "n_a", "n_b", "lift"]
+    assert rows.where("n_ab = 1").count() > 0 and rows.where("lift < 1").count() > 0
+
+
 def groups(links):
     at = {}
 
