@@ -46,20 +46,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     scratch = Scratch(edges.sparkSession, "components")
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = scratch.write(now)
-    mark = _mark(now)
+    mark = edge_mark(now)
     while True:
         after = scratch.write(_small_star(_large_star(now)))
         scratch.drop(now)
-        now, before, mark = after, mark, _mark(after)
+        now, before, mark = after, mark, edge_mark(after)
         if mark == before:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("group")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number of edges and two sums of their hashes: equal only if the edges are."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 20)), F.sum(h.bitwiseAND((1 << 40) - 1))).first())
+def edge_mark(edges: DataFrame) -> tuple[int, int, int]:
+    """Number of edges, and two 64-bit hashes of all of them, each put together by exclusive or.
+
+    Edges are different from each other, so none cancels another out, and nothing is added up
+    that could overflow, however many there are.
+    """
+    rows = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(7), "v", "u")))
+    return tuple(x or 0 for x in rows.first())
 
 
 def usable_links(matches: DataFrame, confidence: Column, least: float = LEAST_CONFIDENCE) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tellstone.llm import registry
-from tellstone.llm.components import connected_components, usable_links
+from tellstone.llm.components import connected_components, edge_mark, usable_links
 from tellstone.llm.cooccurrence import cooccurrence
 from tellstone.llm.neardup import near_duplicates, word_pairs
 from tellstone.llm.termcounts import marked_terms, miscounted, term_counts
@@ -69,6 +69,13 @@ def test_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_mark_of_very_many_edges(spark):
+    edges = spark.range(20_000_000).select((F.col("id") + 1).alias("u"), F.lit(0).cast("long").alias("v"))
+    mark = edge_mark(edges)
+    assert mark[0] == 20_000_000 and mark != edge_mark(edges.withColumn("u", F.when(F.col("u") == 5, 20_000_001).otherwise(F.col("u"))))
+    assert edge_mark(edges.limit(0)) == (0, 0, 0)
+
+
 def test_links(spark):
     rows = [("a", "b", 0.65), ("a", "b", 0.649), ("a", "a", 1.0), ("", "b", 1.0), (None, "b", 1.0), ("a", "c", None), ("a", "d", float("nan")), ("b", "a", 0.9)]
     df = spark.createDataFrame(rows, "tablet_a string, tablet_b string, join_confidence double")
