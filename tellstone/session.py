@@ -74,6 +74,11 @@ class Scratch:
         out._tellstone_path = path
         return out
 
+    def whole_path(self, df: DataFrame | None, name: str) -> str:
+        """Path with its scheme of a folder in a written table, or beside the tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{df._tellstone_path if df is not None else self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tellstone_path)
