@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import shutil
+import uuid
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,11 @@ from tellstone.sources.tables import read_table
 BITS = 4
 #: Rows of a partition beyond which it is split further.
 MOST_ROWS = 1_000_000
+#: Rows of counts that a task adds up at once.
+FOLD_ROWS = 200_000
+#: Memory of the engine that adds up a folder.
+MEMORY = "512MB"
+_COUNTED = "term string, occurrences long, records long"
 RARE_RECORDS = 2
 COMMON_SHARE = 0.3
 
@@ -39,44 +48,97 @@ def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *counts], ["term", "occurrences", "records"])
 
 
-def _added_up(table: pa.Table) -> pa.Table:
-    """One partition, added up by an embedded engine under a memory limit of its own."""
-    with duckdb.connect(config={"memory_limit": "512MB", "threads": 1, "temp_directory": ""}) as con:
-        con.register("part", table)
-        rows = con.execute("select term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from part group by term")
-        return pa.table(rows.fetchnumpy(), schema=pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())]))
-
-
-def term_counts(records: DataFrame, bits: int = BITS, most_rows: int = MOST_ROWS) -> DataFrame:
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same counts with equal terms of a task added up, FOLD_ROWS rows at a time."""
+    kept, rows = [], 0
+    for batch in batches:
+        kept.append(batch)
+        rows += batch.num_rows
+        if rows >= FOLD_ROWS:
+            done = _fold(kept)
+            kept, rows = ([], 0) if 2 * done.num_rows > FOLD_ROWS else (done.to_batches(), done.num_rows)
+            if not kept:
+                yield from done.to_batches()
+    if kept:
+        yield from _fold(kept).to_batches()
+
+
+def _fold(batches: list[pa.RecordBatch]) -> pa.Table:
+    sums = pa.Table.from_batches(batches).group_by("term").aggregate([("occurrences", "sum"), ("records", "sum")])
+    return sums.select(["term", "occurrences_sum", "records_sum"]).rename_columns(["term", "occurrences", "records"])
+
+
+def _adder(spill: str, memory: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds up each folder that comes in, by an embedded engine that reads its files itself and spills beyond its memory."""
+    on_disk = spill.startswith("file:")
+    plain = lambda path: "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            room = f"{plain(spill)}/{uuid.uuid4().hex}"
+            config = {"memory_limit": memory, "threads": 1, "preserve_insertion_order": False, "temp_directory": room if on_disk else ""}
+            with duckdb.connect(config=config) as con:
+                if on_disk:
+                    con.execute("create view part as select * from read_parquet(?)".replace("?", "'" + f"{plain(folder)}/*.parquet".replace("'", "''") + "'"))
+                else:
+                    con.register("part", pyarrow.dataset.dataset(folder, format="parquet"))
+                found = con.execute("select term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from part group by term")
+                yield from found.to_arrow_reader(50_000) if hasattr(found, "to_arrow_reader") else found.fetch_record_batch(50_000)
+            shutil.rmtree(room, ignore_errors=True)
+
+    import pyarrow.dataset
+
+    return run
+
+
+def term_counts(records: DataFrame, bits: int = BITS, most_rows: int = MOST_ROWS, memory: str = MEMORY) -> DataFrame:
     """Rows ``term``, ``occurrences``, ``records`` for every term of ``terms`` (an array of strings).
 
-    Terms are counted within batches of records first, so that a term that every record
-    has reaches the next step once a batch. Counts are partitioned by bits of the term's
-    hash into folders of the shared folder; a partition of more than ``most_rows`` rows is read
-    again and split by the next bits, and so on, until it is small or the bits are used
-    up. Each partition is then added up by an embedded engine in one task, under a
-    memory limit. Only the sizes of the partitions come to the driver, 2 ** bits a split.
+    Terms are counted within batches of records first, and the counts of a task are added up, so that a
+    term that every record has is a row or few a task. Counts are partitioned by bits of the term's
+    hash into folders of the shared folder; all folders of more than ``most_rows`` rows are read
+    again, by one job a level, and split by the next bits, and so on, until they are small or the bits are used
+    up; what a task reads is added up before it is written again, so that a single term of very many rows
+    shrinks although no bits split it. Each folder is then read and added up by an embedded engine in one task, under a
+    memory limit, beyond which it spills to the shared folder (where that is no file system that
+    it can write to, it only has its memory, for which the folders are small enough). Only the
+    sizes and names of the folders come to the driver, one for each ``most_rows`` rows at most 2 ** bits times.
 
     Null arrays, empty arrays and null terms count for nothing; an empty term is a term.
     ``records`` must hold each record once. An empty input gives no rows.
     """
-    scratch = Scratch(records.sparkSession, "termcounts")
+    spark = records.sparkSession
+    scratch = Scratch(spark, "termcounts")
     terms = records.select(F.array_compact("terms").alias("terms")).where("size(terms) > 0")
-    todo = [terms.mapInArrow(_batch_counts, "term string, occurrences long, records long")]
-    leaves, level = None, 0
-    while todo:
-        again = []
-        for rows in todo:
-            radix = F.pmod(F.shiftrightunsigned(F.xxhash64("term"), bits * level), F.lit(1 << bits)).cast("int")
-            parts = scratch.write(rows.withColumn("radix", radix), "radix")
-            sizes = {r["radix"]: r["count"] for r in parts.groupBy("radix").count().collect()}
-            large = {k for k, n in sizes.items() if n > most_rows and bits * (level + 2) <= 60}
-            again += [parts.where(F.col("radix") == k).drop("radix") for k in sorted(large)]
-            small = parts.where(~F.col("radix").isin(*large)) if large else parts
-            small = small.select("term", "occurrences", "records", F.concat_ws("/", F.lit(parts._tellstone_path), "radix").alias("part"))
-            leaves = small if leaves is None else leaves.unionByName(small)
-        todo, level = again, level + 1
-    return leaves.groupBy("part").applyInArrow(lambda t: _added_up(t.select(["term", "occurrences", "records"])), "term string, occurrences long, records long")
+    rows, level, leaves, total = terms.mapInArrow(lambda it: _folded(_batch_counts(it)), f"{_COUNTED}").withColumn("part", F.lit("")), 0, [], 0
+    while rows is not None:
+        radix = F.pmod(F.shiftrightunsigned(F.xxhash64("term"), bits * level), F.lit(1 << bits)).cast("int")
+        parts = scratch.write(rows.withColumn("part", F.concat(F.col("part"), F.lit("-"), radix.cast("string"))), "part")
+        sizes = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}
+        large = sorted(k for k, n in sizes.items() if n > most_rows) if bits * (level + 2) <= 60 else []
+        leaves += [scratch.whole_path(parts, f"part={k}") for k in sorted(sizes) if k not in set(large)]
+        total += sum(n for k, n in sizes.items() if k not in set(large))
+        again = parts.where(F.col("part").isin(large)).select("part", "term", "occurrences", "records")
+        rows = again.mapInArrow(_folded_parts, f"part string, {_COUNTED}").select("term", "occurrences", "records", "part") if large else None
+        level += 1
+    if not leaves:
+        return spark.createDataFrame([], _COUNTED)
+    tasks = min(len(leaves), -(-4 * total // most_rows))
+    return spark.createDataFrame([(x,) for x in leaves], "folder string").repartition(tasks).mapInArrow(_adder(scratch.whole_path(None, "spill"), memory), _COUNTED)
+
+
+def _folded_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of several folders, each added up by itself; rows of a folder follow each other in a task."""
+    for part, run in itertools.groupby((piece for batch in batches for piece in _by_part(batch)), key=lambda x: x[0]):
+        for out in _folded(x[1] for x in run):
+            yield pa.RecordBatch.from_arrays([pa.array([part] * out.num_rows, pa.string()), *out.columns], ["part", "term", "occurrences", "records"])
+
+
+def _by_part(batch: pa.RecordBatch) -> list[tuple[str, pa.RecordBatch]]:
+    parts = batch.column(0)
+    rest = batch.select(["term", "occurrences", "records"])
+    names = parts.unique().to_pylist()
+    return [(names[0], rest)] if len(names) == 1 else [(n, rest.filter(pa.compute.equal(parts, n))) for n in names]
 
 
 def marked_terms(counts: DataFrame, n_records: int, rare_records: int = RARE_RECORDS, common_share: float = COMMON_SHARE) -> DataFrame:

@@ -130,6 +130,18 @@ def test_term_counts(spark, bits, most):
     assert {r["term"]: (r["occurrences"], r["records"]) for r in rows} == {t: (n, len(in_records[t])) for t, n in occurrences.items()} and len(rows) == len(occurrences)
 
 
+def test_term_counts_beyond_memory(spark):
+    terms = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.sha2(F.concat("id", F.lit("-"), i).cast("string"), 256), F.lit("x" * 100)))
+    rows = term_counts(spark.range(4000).select(F.concat(terms, F.array(F.lit("all"))).alias("terms")), memory="30MB")
+    assert rows.count() == 400_001 and rows.where("occurrences = 4000 and records = 4000").select("term").collect()[0][0] == "all"
+
+
+def test_one_term_in_very_many_batches(spark, monkeypatch):
+    rows = spark.range(60_000, numPartitions=40).select(F.array(F.lit("a"), (F.col("id") % 7).cast("string")).alias("terms"))
+    got = {r["term"]: r["records"] for r in term_counts(rows, most_rows=10).collect()}
+    assert got["a"] == 60_000 and sum(got.values()) == 120_000
+
+
 def test_marks(spark):
     counts = spark.createDataFrame([("a", 9, 2), ("b", 9, 3), ("c", 9, 4), ("d", 1, 1)], "term string, occurrences long, records long")
     assert {r["term"]: r["mark"] for r in marked_terms(counts, 10).collect()} == {"a": "rare", "b": None, "c": "common", "d": "rare"}
