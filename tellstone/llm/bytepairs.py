@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import base64
-import heapq
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tellstone.sources.tables import read_table
 
-#: Pieces longer than this many bytes are merged one by one with a heap, for whose sake no matrix is padded.
+#: Pieces longer than this many bytes are rows of their own, in which all places of the lowest rank merge in one round.
 LONG_PIECE = 256
 #: Characters of text, and different pieces kept, in one go.
 SLICE_CHARS = 2_000_000
@@ -43,6 +44,11 @@ class BytePairEncoder:
     round every row merges its leftmost pair of the lowest rank: ranks of pairs come from
     a hash table, the merged id takes the pair's place, and what follows moves up by one
     column. Rows without a pair left are done and leave the matrix.
+
+    A long piece is a row of its own. Where ids are in the order of their merges, so that no pair
+    with an id in it has a lower rank than the id (checked when the vocabulary is read), the
+    row's next merges are all the places of the same pair, which then merge in one
+    round, from the left: a round for each different rank instead of each merge.
     """
 
     def __init__(self, path: str):
@@ -58,7 +64,9 @@ class BytePairEncoder:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
-        keys = np.array(left, np.int64) * self.size + np.array(right, np.int64)
+        left, right = np.array(left, np.int64), np.array(right, np.int64)
+        self.in_order = bool((np.maximum(left, right) < np.array(rank)).all())
+        keys = left * self.size + right
         self._fill(keys, np.array(rank, np.int32))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -107,7 +115,7 @@ class BytePairEncoder:
             width = int(lengths[order[at]])
             if width > LONG_PIECE:
                 for i in order[at:]:
-                    ids = self._heap_merged(flat[starts[i] : starts[i] + lengths[i]])
+                    ids = self._long_row(flat[starts[i] : starts[i] + lengths[i]])
                     found.append((np.array([i]), np.array([len(ids)]), ids))
                 break
             upto = max(width, min(LONG_PIECE, width + width // 4))  # a bucket holds pieces of similar length
@@ -152,39 +160,24 @@ class BytePairEncoder:
                     r, c = line[ok], near[ok]
                     rank[r, c] = self.ranks(ids[r, c], ids[r, c + 1])
 
-    def _heap_merged(self, ids: np.ndarray) -> np.ndarray:
-        """The same merges for one long piece: a heap of pairs over a linked list."""
-        token = ids.tolist()
-        n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(int(r), i) for i, r in enumerate(self.ranks(ids[:-1], ids[1:])) if r != _NONE]
-        now = {i: r for r, i in heap}
-        heapq.heapify(heap)
-        one = np.empty(1, np.int32)
-
-        def renew(i: int) -> None:
-            now.pop(i, None)
-            if i >= 0 and after[i] < n:
-                a, b = one.copy(), one.copy()
-                a[0], b[0] = token[i], token[after[i]]
-                if (r := int(self.ranks(a, b)[0])) != _NONE:
-                    now[i] = r
-                    heapq.heappush(heap, (r, i))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if now.get(i) != r:
-                continue
-            gone = after[i]
-            token[i], token[gone] = r, -1
-            after[i] = after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            now.pop(gone, None)
-            renew(i)
-            if before[i] >= 0:
-                renew(before[i])
-        return np.array([t for t in token if t >= 0], np.int32)
+    def _long_row(self, ids: np.ndarray) -> np.ndarray:
+        rank = self.ranks(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == best) if self.in_order else rank.argmin(keepdims=True)
+            # of places that overlap (a run of one id) every other one merges, from the left
+            begin = np.r_[True, np.diff(at) > 1]
+            order = np.arange(len(at))
+            at = at[(order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0]
+            ids = ids.copy()
+            ids[at] = best
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank = ids[keep], rank[keep[1:]]
+            now = at - np.arange(len(at))  # places of the merged ids after closing up
+            near = np.unique(np.r_[now - 1, now])
+            near = near[(near >= 0) & (near < len(rank))]
+            rank[near] = self.ranks(ids[near], ids[near + 1])
+        return ids
 
 
 @lru_cache(maxsize=4)
@@ -235,9 +228,9 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield first, part
 
 
-def _coder(path: str, pattern: str, lengths_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _coder(name: str, pattern: str, lengths_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextEncoder(path, pattern)
+        encode = TextEncoder(SparkFiles.get(name), pattern)
         for batch in batches:
             others = batch.select(range(1, batch.num_columns))
             for first, texts in _slices(batch.column(0)):
@@ -255,11 +248,13 @@ def encoded(df: DataFrame, text: str = "text", out: str = "ids", path: str | Non
     Whole texts are encoded as stored; strings that look like special tokens are
     ordinary text. Null and empty text gives an empty list (or 0). A column that
     already has the name ``out`` is replaced. Equal rows give equal rows; an empty input gives none.
-    ``path`` names a vocabulary file that all executors can read.
+    ``path`` names a vocabulary file that the driver can read; executors get it from there.
     """
     rest = [c for c in df.columns if c not in (text, out)]
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(out, T.IntegerType() if lengths_only else T.ArrayType(T.IntegerType()))])
-    run = _coder(path or vocabulary_path(), pattern or split_pattern(), lengths_only)
+    path = path or vocabulary_path()
+    df.sparkSession.sparkContext.addFile(path)
+    run = _coder(os.path.basename(path), pattern or split_pattern(), lengths_only)
     return df.select(text, *rest).mapInArrow(run, schema)
 
 
