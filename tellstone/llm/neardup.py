@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+import itertools
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -16,12 +16,18 @@ from tellstone.llm.components import connected_components
 from tellstone.session import Scratch
 from tellstone.sources.tables import read_table
 
-#: Number of short lists that a candidate must stand in; the remaining lists are only probed.
-MERGE_HITS = 2
-#: Length up to which an inverted list is merged in one piece.
-LIST_PIECE = 4096
+#: How often a candidate must come up in the short lists; with more of them there are more short lists and fewer candidates.
+MERGE_HITS = 3
+#: Postings of one piece of an inverted list, and ids that are merged at once for one query.
+LIST_PIECE, MERGED_AT_ONCE = 4096, 32_768
+#: Members of the sets whose lists are probed by one task.
+PROBED_PAIRS = 250_000
+#: Cells (as powers of two) of the table of estimated list lengths: at least, and at most.
+LEAST_BITS, MOST_BITS = 12, 24
 LEAST_WORDS = 8
 SIMILARITY = Fraction(1, 2)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_EXACT = 128  # lengths below are stored as they are, others in quarters of powers of two
 
 
 def word_pairs(tokens: Column) -> Column:
@@ -35,94 +41,328 @@ def word_pairs(tokens: Column) -> Column:
     return F.when(n >= 2, F.array_sort(F.array_distinct(pairs))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _merger(hits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Heap-merges the short lists of each query; rows of one query and bucket follow each other."""
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Well mixed bits of ids or hashes."""
+    x = values.astype(np.int64).view(np.uint64) * _MIX
+    return (x ^ (x >> np.uint64(29))) * _MIX
+
+
+def _cells(members: np.ndarray, bits: int) -> np.ndarray:
+    return (_mixed(members) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after another."""
+    upto = np.cumsum(lengths)
+    return np.repeat(starts - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)
+
+
+def _power(n: np.ndarray) -> np.ndarray:
+    """Exponent of the smallest power of two that is at least n."""
+    return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
+def _list(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and where each list begins (one more entry at the end)."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values, kind))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that never end within a group; rows of a group follow each other."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in key]
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        if kept and any(kept[-1].column(c)[kept[-1].num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in key):
+            yield _one(kept)
+            kept = []
+        if len(change):
+            end = int(change[-1]) + 1
+            yield _one([*kept, batch.slice(0, end)])
+            kept = [batch.slice(end)]
+        else:
+            kept.append(batch)
+    if kept:
+        yield _one(kept)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many members fall in each cell, added up within a task a few million at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, need, lists = None, 1, []
-        out_q: list[int] = []
-        out_r: list[int] = []
-
-        def close() -> None:
-            if len(lists) < need:
-                return
-            last, times = None, 0
-            for r in heapq.merge(*lists) if len(lists) > 1 else lists[0]:
-                if r == last:
-                    times += 1
-                else:
-                    last, times = r, 1
-                if times == need:
-                    out_q.append(key[0])
-                    out_r.append(r)
-
-        for batch in batches:
-            q, bucket, wanted = (batch.column(i).to_pylist() for i in range(3))
-            column = batch.column(3)
-            flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
-            for i in range(len(q)):
-                if (q[i], bucket[i]) != key:
-                    close()
-                    key, need, lists = (q[i], bucket[i]), wanted[i], []
-                lists.append(flat[at[i] : at[i + 1]])
-            if len(out_q) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_r, pa.int64())], ["q", "r"])
-                out_q.clear()
-                out_r.clear()
-        close()
-        if out_q:
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_r, pa.int64())], ["q", "r"])
+        kept, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                kept.append(_cells(_list(batch.column(0))[0], bits))
+                size += len(kept[-1])
+            if size and (batch is None or size > 4_000_000):
+                cell, n = np.unique(np.concatenate(kept), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell >> 10, pa.int32()), pa.array(cell, pa.int32()), pa.array(n, pa.int64())], ["block", "cell", "n"])
+                kept, size = [], 0
 
     return run
 
 
-def _probe(wanted: pa.ListArray, given: pa.ListArray) -> np.ndarray:
-    """For each row, how many of its wanted values are in its given, ascending ones: binary searches, all rows at once."""
-    values = given.flatten().to_numpy(zero_copy_only=False)
-    ends = given.offsets.to_numpy().astype(np.int64) - given.offsets[0].as_py()
-    sought = wanted.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
-    low, high = ends[row], ends[row + 1]
-    top = high.copy()
-    while (low < high).any():
-        mid = (low + high) >> 1
-        less = (low < high) & (values[np.minimum(mid, len(values) - 1)] < sought)
-        high = np.where(less | (low >= high), high, mid)
-        low = np.where(less, mid + 1, low)
-    hit = low < top
-    hit[hit] = values[low[hit]] == sought[hit]
-    return np.bincount(row[hit], minlength=len(wanted))
-
-
-def _verifier(similarity: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _coded_block(table: pa.Table) -> pa.Table:
+    cell, n = table.column("cell").to_numpy(), table.column("n").to_numpy()
+    codes = np.zeros(1024, np.uint8)
+    codes[cell & 1023] = np.where(n < _EXACT, n, np.minimum(255, _EXACT + np.ceil(4 * np.log2(np.maximum(n, _EXACT) / _EXACT))))
+    return pa.table({"block": pa.array(cell[:1] >> 10, pa.int32()), "codes": pa.array([codes.tobytes()], pa.binary())})
+
+
+def _list_lengths(reps: DataFrame, bits: int) -> np.ndarray:
+    """Upper estimates of the lengths of all inverted lists, a byte a cell.
+
+    The members of a cell are counted together, so an estimate is never too low; it only decides the order of lists and
+    how they are cut, not what is found. The table has at most 2 ** MOST_BITS bytes, whatever the collection.
+    """
+    counts = reps.select("pairs").mapInArrow(_counter(bits), "block int, cell int, n long").groupBy("block", "cell").agg(F.sum("n").alias("n"))
+    codes = np.zeros(1 << bits, np.uint8)
+    for row in counts.groupBy("block").applyInArrow(_coded_block, "block int, codes binary").toLocalIterator():
+        codes[row["block"] * 1024 : (row["block"] + 1) * 1024] = np.frombuffer(row["codes"], np.uint8)[: len(codes)]
+    return codes
+
+
+class _Divided:
+    """Members of sets from the shortest list to the longest, divided into short and long lists."""
+
+    def __init__(self, batch: pa.RecordBatch, codes: np.ndarray, s: Fraction, hits: int, merged_at_once: int):
+        self.id = batch.column("id").to_numpy()
+        members, begins = _list(batch.column("pairs"))
+        self.n = np.diff(begins)
+        lengths = np.r_[np.arange(_EXACT), (_EXACT * 2.0 ** (np.arange(256 - _EXACT) / 4)).astype(np.int64)]
+        est = lengths[codes[_cells(members, int(np.log2(len(codes))))]]
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        order = np.lexsort((members, est, row))
+        at = np.arange(len(row)) - begins[row]
+        needed = -(-2 * s.numerator * self.n // (s.numerator + s.denominator))
+        short = at < (self.n - needed + np.minimum(hits, needed))[row]
+        there = est[order] > 1  # a member of one set only has no other set in its list
+        self.member, self.est, self.row, self.short = members[order][there], est[order][there], row[there], short[there]
+        merged = np.bincount(self.row[self.short], weights=self.est[self.short], minlength=len(self.n))
+        self.parts = _power(merged / merged_at_once)  # a query with very long short lists is merged in parts, by hash bits of the ids
+
+
+def _lister(codes: object, s: Fraction, hits: int, list_piece: int, merged_at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings, those of short lists also as queries. A long list is cut in a square of pieces: by the ids in it, and by those that ask."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                overlap = _probe(batch.column("q_pairs"), batch.column("r_pairs"))
-                n = sum(np.diff(batch.column(c).offsets.to_numpy()) for c in ("q_pairs", "r_pairs"))
-                ok = overlap * (similarity.numerator + similarity.denominator) >= similarity.numerator * n
-                q, r = (batch.column(c).to_numpy()[ok] for c in ("q", "r"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(q, r)), pa.array(np.maximum(q, r)), pa.array(overlap[ok] / (n[ok] - overlap[ok]))], ["rep_a", "rep_b", "similarity"])
+            for lo in range(0, whole.num_rows, 8192):
+                d = _Divided(whole.slice(lo, 8192), codes.value, s, hits, merged_at_once)
+                side = np.int64(1) << _power(d.est / list_piece)
+                own = (_mixed(d.id)[d.row] & np.uint64((1 << 62) - 1)).astype(np.int64) % side
+                one, many = np.flatnonzero(side == 1), np.flatnonzero(side > 1)
+                yield from rows(d, one, np.zeros(len(one), np.int64), 1 + 2 * d.short[one])
+                for many in np.split(many, np.flatnonzero(np.diff(np.cumsum(side[many]) // 500_000)) + 1):
+                    other = _ranges(np.zeros(len(many), np.int64), side[many])
+                    again = np.repeat(many, side[many])
+                    yield from rows(d, again, other * side[again] + own[again], np.full(len(again), 1))
+                    asks = d.short[again]
+                    again, other = again[asks], other[asks]
+                    yield from rows(d, again, own[again] * side[again] + other, np.full(len(again), 2))
+
+    def rows(d: _Divided, at: np.ndarray, piece: np.ndarray, role: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(at):
+            r = d.row[at]
+            columns = [pa.array(d.member[at]), pa.array(piece, pa.int64()), pa.array(d.n[r], pa.int32()), pa.array(d.id[r]), pa.array(role, pa.int8()), pa.array(d.parts[r], pa.int8())]
+            yield pa.RecordBatch.from_arrays(columns, ["member", "piece", "n", "id", "role", "parts"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, hits: int = MERGE_HITS) -> tuple[DataFrame, DataFrame]:
+def _short_lists(s: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each query of a piece the ids in it that may be similar: larger sets, but not too large. Rows come ordered by list, piece, n, id and role."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, "member", "piece"):
+            member, piece, n, ids, role, parts = (batch.column(i).to_numpy() for i in range(6))
+            group = np.cumsum(np.r_[False, (member[1:] != member[:-1]) | (piece[1:] != piece[:-1])]).astype(np.int64)
+            held, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+            key = (group[held] << 32) + n[held]
+            start = np.searchsorted(held, asks, side="right")
+            end = np.searchsorted(key, (group[asks] << 32) + np.minimum(n[asks].astype(np.int64) * s.denominator // s.numerator, 2**31), side="right")
+            some = end > start
+            asks, start, size = asks[some], start[some], (end - start)[some]
+            for part in np.split(np.arange(len(asks)), np.flatnonzero(np.diff(np.cumsum(size) // 2_000_000)) + 1):
+                if not len(part):
+                    continue
+                r = ids[held[_ranges(start[part], size[part])]]
+                row = np.repeat(np.arange(len(part)), size[part])
+                slot = (_mixed(r) >> np.uint64(40)).astype(np.int64) & ((np.int64(1) << parts[asks[part]].astype(np.int64)) - 1)[row]
+                if slot.any():
+                    order = np.lexsort((slot, row))
+                    r, row, slot = r[order], row[order], slot[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (slot[1:] != slot[:-1])])
+                q = asks[part][row[first]]
+                columns = [pa.array(ids[q]), pa.array(slot[first], pa.int32()), pa.array(np.ones(len(first)), pa.int8()), pa.array(n[q], pa.int32()), _lists(r, np.diff(np.r_[first, len(r)]), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["q", "slot", "tag", "n", "list"])
+
+    return run
+
+
+def _long_lists(codes: object, s: Fraction, hits: int, merged_at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The members of each set whose lists are long, once for each part in which its short lists are merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 8192):
+                d = _Divided(whole.slice(lo, 8192), codes.value, s, hits, merged_at_once)
+                asks = np.unique(d.row[d.short])
+                member, size = d.member[~d.short], np.bincount(d.row[~d.short], minlength=len(d.n))
+                begin = np.cumsum(size) - size
+                parts = np.int64(1) << d.parts[asks]
+                q, slot = np.repeat(asks, parts), _ranges(np.zeros(len(asks), np.int64), parts)
+                columns = [pa.array(d.id[q]), pa.array(slot, pa.int32()), pa.array(np.zeros(len(q)), pa.int8()), pa.array(d.n[q], pa.int32()), _lists(member[_ranges(begin[q], size[q])], size[q], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["q", "slot", "tag", "n", "list"])
+
+    return run
+
+
+def _merger(s: Fraction, hits: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Merges the short lists of each query and keeps the ids that come up often enough, with how often they did.
+
+    The lists of all queries of a batch are merged at once: a stable sort, which merges runs, in
+    place of a heap for each query. Candidates go on by hash of their id, with the query's long lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, "q", "slot"):
+            q, slot, tag, n = (batch.column(i).to_numpy() for i in range(4))
+            values, begins = _list(batch.column("list"))
+            group = np.cumsum(np.r_[True, (q[1:] != q[:-1]) | (slot[1:] != slot[:-1])]) - 1
+            lead = np.flatnonzero(tag == 0)  # one a group, before its lists
+            met = np.flatnonzero(tag == 1)
+            sizes = np.diff(begins)
+            r, g = values[_ranges(begins[met], sizes[met])], np.repeat(group[met], sizes[met])
+            order = np.lexsort((r, g))
+            r, g = r[order], g[order]
+            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])]) if len(r) else np.empty(0, np.int64)
+            times = np.diff(np.r_[first, len(r)])
+            r, g = r[first], g[first]
+            needed = -(-2 * s.numerator * n[lead].astype(np.int64) // (s.numerator + s.denominator))
+            ok = times >= np.minimum(hits, needed)[g]
+            r, g, times = r[ok], g[ok], times[ok]
+            bucket = _bucket(r, buckets)
+            order = np.lexsort((bucket, g))
+            r, g, times, bucket = r[order], g[order], times[order], bucket[order]
+            first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (bucket[1:] != bucket[:-1])]) if len(r) else np.empty(0, np.int64)
+            lengths = np.diff(np.r_[first, len(r)])
+            for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(np.cumsum(sizes[lead[g[first]]]) // 2_000_000)) + 1):
+                if len(part):
+                    at, c = lead[g[first[part]]], _ranges(first[part], lengths[part])
+                    columns = [pa.array(bucket[first[part]], pa.int32()), pa.array(np.ones(len(part)), pa.int8()), pa.array(q[at]), pa.array(n[at], pa.int32()), _lists(values[_ranges(begins[at], sizes[at])], sizes[at], pa.int64())]
+                    columns += [_lists(r[c], lengths[part], pa.int64()), _lists(times[c], lengths[part], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "tag", "id", "n", "members", "r", "times"])
+
+    return run
+
+
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return ((_mixed(ids) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+class _Piece:
+    """The inverted lists of the sets of one bucket: (member, id) in order."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        members, ids, sizes = [], [], []
+        for b in batches:
+            members.append(_list(b.column("members"))[0])
+            ids.append(b.column("id").to_numpy())
+            sizes.append(b.column("n").to_numpy())
+        self.id, n = np.concatenate(ids), np.concatenate(sizes)
+        member = np.concatenate(members)
+        place = np.argsort(self.id)
+        rank = np.empty_like(place)
+        rank[place] = np.arange(len(place))
+        self.members, of = np.unique(member, return_inverse=True)
+        self.postings = np.sort(of * len(self.id) + np.repeat(rank, n))
+        self.id, self.n = self.id[place], n[place].astype(np.int64)
+
+    def holds(self, member: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether the list of a member (its place) has a set (its place): a binary search in the list."""
+        key = member * len(self.id) + doc
+        at = np.minimum(np.searchsorted(self.postings, key), len(self.postings) - 1)
+        return self.postings[at] == key
+
+
+def _prober(s: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Probes the long lists of each query for its candidates; what they add to the merged count is the whole overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, piece = None, [], None
+        for whole in batches:
+            bucket, tag = whole.column("bucket").to_numpy(), whole.column("tag").to_numpy()
+            cuts = np.r_[0, np.flatnonzero((bucket[1:] != bucket[:-1]) | (tag[1:] != tag[:-1])) + 1, len(bucket)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                part = whole.slice(lo, hi - lo)
+                if bucket[lo] != now:
+                    now, kept, piece = bucket[lo], [], None
+                if tag[lo] == 0:
+                    kept.append(part)
+                    continue
+                piece = piece or _Piece(kept)
+                kept = []
+                yield from probed(piece, part)
+
+    def probed(piece: _Piece, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        member, m_at = _list(part.column("members"))
+        r, r_at = _list(part.column("r"))
+        times = _list(part.column("times"))[0]
+        place = np.minimum(np.searchsorted(piece.members, member), len(piece.members) - 1)
+        known = piece.members[place] == member  # other lists have nothing in this piece
+        place, upto = place[known], np.r_[0, np.cumsum(known)]
+        m_at = upto[m_at]
+        row = np.repeat(np.arange(part.num_rows), np.diff(r_at))
+        doc = np.searchsorted(piece.id, r)
+        q, nq = part.column("id").to_numpy()[row], part.column("n").to_numpy()[row].astype(np.int64)
+        size = np.diff(m_at)[row]
+        for c in np.split(np.arange(len(r)), np.flatnonzero(np.diff(np.cumsum(size) // 2_000_000)) + 1):
+            if not len(c):
+                continue
+            of = np.repeat(np.arange(len(c)), size[c])
+            hit = piece.holds(place[_ranges(m_at[row[c]], size[c])], doc[c][of])
+            overlap = times[c] + np.bincount(of[hit], minlength=len(c))
+            total = nq[c] + piece.n[doc[c]]
+            ok = overlap * (s.numerator + s.denominator) >= s.numerator * total
+            a, b, o, t = q[c][ok], r[c][ok], overlap[ok], total[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(o / (t - o))], ["rep_a", "rep_b", "similarity"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, hits: int = MERGE_HITS, pieces: tuple[int, int, int] = (LIST_PIECE, MERGED_AT_ONCE, PROBED_PAIRS)) -> tuple[DataFrame, DataFrame]:
     """Similar pairs of different sets, and who has which set.
 
     ``docs`` has ``id`` (long, unique) and ``pairs`` (an ascending array of different longs). The Jaccard
     similarity of a pair is at least ``similarity``. Result: (rep_a < rep_b, similarity) between
     representatives, and (id, rep) for every document; rep is the smallest id with the same set.
 
-    T-occurrence search after DivideSkip. A set's lists are ordered from the rarest to the most
-    common. The query is the smaller set, of n, so that T = ceil(2 s n / (1 + s)) common
-    members are required; its n - T + h rarest lists are the short ones and are heap-merged,
-    where a candidate must come up h = ``hits`` times; the other lists are long. They are
-    never shipped: each is probed by a binary search for its member in the candidate's set.
-    Lists hold a set only as far as its own short part goes, since a pair with enough
-    in common meets h times within both. Lists are cut in buckets of ids, so that
-    no task holds more than pieces of LIST_PIECE of any list.
+    T-occurrence search by DivideSkip, every different set being a query for larger ones. A set of n that is the smaller of a similar pair has
+    T = ceil(2 s n / (1 + s)) members in common with the other. Of the inverted lists of its members, n - T + h
+    are short and merged; the T - h longest are not. An id that comes up fewer than h times in the short lists can't reach T (h = ``hits``).
+    The others are looked up in each long list by a binary search, and what is found is added to the count
+    of the merge, which gives the whole overlap.
+
+    * Which lists are short is told by upper estimates of their lengths, in a table of bounded size that is
+      sent to all tasks. Estimates only steer the work; any division gives the same pairs.
+    * Lists are whole. Pieces of at most some LIST_PIECE ids (``pieces``), squared by those that ask, are merged in a task, so that a
+      member that a third of the sets has meets in no task whole.
+    * For the probes the lists are cut by hash of the ids, in pieces of PROBED_PAIRS postings; candidates stream past
+      the piece that holds them.
 
     Empty sets and null arrays are like nothing, themselves included, and have no row in the second result.
     """
@@ -130,36 +370,38 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, hits: in
     scratch = Scratch(spark, "neardup")
     s = similarity
     sets = scratch.write(docs.select("id", "pairs")).where("size(pairs) > 0")  # written first, or each use makes the pairs anew
-    sets = sets.select("id", "pairs", F.xxhash64("pairs").alias("h1"), F.hash(F.reverse("pairs")).alias("h2"), F.size("pairs").alias("n"))
-    first = sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    members = scratch.write(sets.select("id", "h1", "h2", "n").join(first, ["h1", "h2", "n"]).select("id", "rep"))
-    reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "pairs")
-    postings = reps.select("id", "n", F.explode("pairs").alias("member"))
-    df = postings.groupBy("member").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # members that no other set has take the first places; only their number matters
-    ranked = postings.join(df, "member").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "member"))).alias("lists"))
-    needed = lambda a: F.ceil(F.col("n") * a.numerator / F.lit(a.denominator) - F.lit(1e-9)).cast("int")
-    t_query, t_list = needed(2 * s / (1 + s)), needed(s)
-    alone = F.col("n") - F.size("lists")
-    ranked = ranked.withColumn("h", F.least(F.lit(hits), t_query)).withColumn("short", F.col("n") - t_query + F.col("h") - alone).withColumn("listed", F.least(F.col("n"), F.col("n") - t_list + hits) - alone)
-    index = scratch.write(
-        ranked.where("listed > 0").select("id", "n", "h", "short", F.posexplode(F.slice("lists", F.lit(1), F.col("listed"))).alias("at", "l")).select("id", "n", "h", F.col("l.member").alias("member"), (F.col("at") < F.col("short")).alias("is_short"))
-    )
-    longest = index.groupBy("member").count().agg(F.max("count")).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("id"), F.lit(-(-longest // LIST_PIECE) or 1))
-    lists = index.groupBy("member", bucket.alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("list"))
-    larger = s.denominator, s.numerator
-    met = (
-        index.where("is_short").select(F.col("id").alias("q"), F.col("n").alias("nq"), "h", "member").join(lists, "member")
-        .select("q", "bucket", "h", F.transform(F.filter("list", lambda x: (x["n"] * larger[1] <= F.col("nq") * larger[0]) & ((x["n"] > F.col("nq")) | ((x["n"] == F.col("nq")) & (x["id"] > F.col("q"))))), lambda x: x["id"]).alias("list"))
-        .where("size(list) > 0")
-    )
-    merged = met.repartition("q", "bucket").sortWithinPartitions("q", "bucket").mapInArrow(_merger(hits), "q long, r long")
-    sides = [reps.select(F.col("id").alias(x), F.col("pairs").alias(f"{x}_pairs")) for x in "qr"]
-    pairs = merged.join(sides[0], "q").join(sides[1], "r").mapInArrow(_verifier(s), "rep_a long, rep_b long, similarity double")
+    keys = [F.xxhash64("pairs").alias("h1"), F.hash(F.reverse("pairs")).alias("h2"), F.size("pairs").alias("n")]
+    keyed = sets.select("id", *keys)
+    again = keyed.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    copies = scratch.write(keyed.join(again, ["h1", "h2", "n"]).where("id <> rep").select("id", "rep"))
+    members = sets.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    reps = sets.join(copies.select("id"), "id", "left_anti").select("id", "pairs")
+    total = sets.agg(F.sum(F.size("pairs"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(total).bit_length()))
+    codes = spark.sparkContext.broadcast(_list_lengths(reps, bits))
+    postings = reps.mapInArrow(_lister(codes, s, hits, *pieces[:2]), "member long, piece long, n int, id long, role tinyint, parts tinyint")
+    postings = postings.repartition("member", "piece").sortWithinPartitions("member", "piece", "n", "id", "role")
+    lists = "q long, slot int, tag tinyint, n int, list array<long>"
+    met = postings.mapInArrow(_short_lists(s), lists).unionByName(reps.mapInArrow(_long_lists(codes, s, hits, pieces[1]), lists))
+    buckets = -(-total // pieces[2]) or 1
+    schema = "bucket int, tag tinyint, id long, n int, members array<long>, r array<long>, times array<int>"
+    candidates = met.repartition("q", "slot").sortWithinPartitions("q", "slot", "tag").mapInArrow(_merger(s, hits, buckets), schema)
+    indexed = reps.mapInArrow(_indexer(buckets), schema)
+    pairs = candidates.unionByName(indexed).repartition("bucket").sortWithinPartitions("bucket", "tag").mapInArrow(_prober(s), "rep_a long, rep_b long, similarity double")
     return pairs, members
 
 
+def _indexer(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, pairs, k = b.column("id"), b.column("pairs"), b.num_rows
+            empty = [pa.array([None] * k, pa.list_(t)) for t in (pa.int64(), pa.int32())]
+            columns = [pa.array(_bucket(ids.to_numpy(), buckets), pa.int32()), pa.array(np.zeros(k), pa.int8()), ids, pa.array(np.diff(_list(pairs)[1]), pa.int32()), pairs, *empty]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "tag", "id", "n", "members", "r", "times"])
+
+    return run
+
+
 def catalog_sets(spark: SparkSession, folder: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """``id`` and ``pairs`` of the catalogue entries, null for fewer words; a row that comes again counts once."""
     rows = read_table(spark, folder, "corpus_catalog", "id", "transliteration").where("id is not null and transliteration is not null")

@@ -82,14 +82,14 @@ def test_links(spark):
     assert sorted((r[0], r[1]) for r in usable_links(df, F.col("join_confidence")).collect()) == [("a", "b"), ("b", "a")]
 
 
-@pytest.mark.parametrize("similarity,hits", [(Fraction(1, 2), 2), (Fraction(1, 2), 1), (Fraction(4, 5), 3)])
-def test_near_duplicates(spark, similarity, hits):
+@pytest.mark.parametrize("similarity,hits,pieces", [(Fraction(1, 2), 2, (4096, 9999, 9999)), (Fraction(1, 2), 1, (4, 16, 50)), (Fraction(4, 5), 3, (8, 8, 10**6))])
+def test_near_duplicates(spark, similarity, hits, pieces):
     rng = random.Random(7)
     base = [[rng.randrange(400) for _ in range(rng.randrange(1, 30))] for _ in range(60)]
     docs = [sorted({x for x in b if rng.random() > 0.15} | {rng.randrange(400) for _ in range(rng.randrange(4))}) for b in base for _ in range(6)]
     docs += [docs[0]] * 40 + [[], [5], [5], [5, 6]] + [list(range(1000, 1300)), list(range(1000, 1302))]
     df = spark.createDataFrame([(i, [x - 200 for x in d], "z") for i, d in enumerate(docs)] + [(9999, None, "z")], "id long, pairs array<long>, rep string")
-    pairs, members = near_duplicates(df, similarity, hits)
+    pairs, members = near_duplicates(df, similarity, hits, pieces)
     rep = {r["id"]: r["rep"] for r in members.collect()}
     first = {}
     for i, d in enumerate(docs):
