@@ -16,12 +16,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
 
 
-def balanced_centroids(sample: np.ndarray, leaf: int, rng: np.random.Generator) -> np.ndarray:
-    """Unit centroids of clusters of at most ``leaf`` sample vectors: clusters are split until they are small.
+def balanced_centroids(sample: np.ndarray, leaf: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids of clusters of at most ``leaf`` sample vectors, and the number of each: clusters are split until they are small.
 
-    A cluster whose vectors can't be told apart stays whole.
+    Parts of one cluster follow each other. A cluster whose vectors can't be told apart stays whole.
     """
-    todo, out = [np.arange(len(sample))], []
+    todo, out, sizes = [np.arange(len(sample))], [], []
     while todo:
         rows = todo.pop()
         x = sample[rows]
@@ -41,7 +41,8 @@ def balanced_centroids(sample: np.ndarray, leaf: int, rng: np.random.Generator)
         mean = x.mean(axis=0, dtype=np.float64)
         length = np.linalg.norm(mean)
         out.append(mean / length if length > 1e-9 else x[0])
-    return np.array(out, np.float32)
+        sizes.append(len(rows))
+    return np.array(out, np.float32), np.array(sizes)
 
 
 class CentroidGraph:
@@ -77,10 +78,31 @@ class CentroidGraph:
             ids[at : at + 512, : i.shape[1]], sims[at : at + 512, : i.shape[1]] = i[:, :count], s[:, :count]
         return ids, sims
 
-    def within(self, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a query and a centroid at most ``ratio`` times as far as its nearest: all of them, by a matrix product."""
-        far = np.sqrt(np.maximum(0, 2 - 2 * (queries @ self.centroids.T)))
-        return np.nonzero(far <= far.min(axis=1, keepdims=True) * ratio)
+    def within(self, queries: np.ndarray, ratio: float, first: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, centroid and place of all centroids at most ``ratio`` times as far as a query's nearest; a query's come nearest first.
+
+        The search is repeated with a wider beam for the queries whose last centroid is still within the ratio, and
+        where it would be as wide as a quarter of the graph, all centroids are compared.
+        """
+        out, active, count = [], np.arange(len(queries)), first
+        while len(active):
+            if 4 * count >= len(self.centroids):
+                ids, sims = [], []
+                for at in range(0, len(active), 2048):
+                    s = queries[active[at : at + 2048]] @ self.centroids.T
+                    order = np.argsort(-s, axis=1, kind="stable")
+                    ids.append(order)
+                    sims.append(np.take_along_axis(s, order, 1))
+                ids, sims = np.concatenate(ids), np.concatenate(sims)
+            else:
+                ids, sims = self.search(queries[active], count)
+            far = np.where(ids >= 0, np.sqrt(np.maximum(0, 2 - 2 * sims)), np.inf)
+            near = far <= far[:, :1] * ratio
+            done = ~near[:, -1] | (ids.shape[1] >= len(self.centroids))
+            row, place = np.nonzero(near & done[:, None])
+            out.append((active[row], ids[row, place], place))
+            active, count = active[~done], 4 * count
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
     def _beam(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(q), len(self.centroids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,100 +20,181 @@ from tellstone.sources.tables import read_table
 SAMPLE_EVERY, SAMPLE_LEAST, SAMPLE_MOST = 16, 4096, 65_536
 #: Vectors of a posting list, copies at the boundary not counted.
 LIST_SIZE = 512
+#: Postings and queries that one task should have of one cell (lists next to each other).
+CELL_POSTINGS, CELL_QUERIES = 8192, 200_000
 NEIGHBOURS = 10
+#: Neighbours beyond those wanted that are scored exactly.
+SPARE = 4
 FOUND_SIMILARITY = 0.92
-#: Vectors whose lists are chosen at once.
-ROWS_AT_ONCE = 512
-_POSTING, _QUERY = 1, 2
+#: A vector is kept in lists at most so many times as far as the nearest, and in so many; a query reads all lists within the other ratio.
+POSTING_RATIO, MOST_POSTINGS, PROBE_RATIO = 1.05, 4, 1.35
+_PLACED = "cell int, part int, tag tinyint, id long, vec binary, held array<int>, asked array<int>"
 
 
 @dataclass(frozen=True)
-class Reach:
-    """Which lists a vector goes to: those at most ``ratio`` times as far as the nearest, and at most so many (None: all of them)."""
+class KindIndex:
+    """Centroids of one kind: their lists lie in cells, and large cells are cut by the ids kept there and by those that ask."""
 
-    ratio: float
-    most: int | None
-
-
-#: Lists in which a vector is kept, and lists in which the neighbours of one are sought.
-POSTINGS, PROBES, CLOSE_PROBES = Reach(1.05, 4), Reach(1.35, None), Reach(1.05, 4)
+    graph: CentroidGraph
+    cell_of: np.ndarray  # of each list
+    first: int  # number of the first cell
+    parts: np.ndarray  # of each cell, by kept ids
+    groups: np.ndarray  # of each cell, by asking ids
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _lists(graph: CentroidGraph, x: np.ndarray, reach: Reach) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a row of ``x`` and a list that it reaches."""
-    if reach.most is None:
-        return graph.within(x, reach.ratio)
-    ids, sims = graph.search(x, reach.most)
-    far = np.where(ids >= 0, np.sqrt(np.maximum(0, 2 - 2 * sims)), np.inf)
-    row, at = np.nonzero((far <= far[:, :1] * reach.ratio) & (ids >= 0))
-    return row, ids[row, at]
+def _ranges(lengths: np.ndarray) -> np.ndarray:
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _assigner(index: object, postings: Reach, probes: Reach) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (list, role, id, vector) for the lists of each vector: columns id, kind, query and vec come in."""
+def _assigner(index: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows for the cells of each vector, with the lists there that keep it and those that it asks: columns id, kind, query and vec come in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graphs: dict[str, tuple[int, CentroidGraph]] = index.value
+        kinds: dict[str, KindIndex] = index.value
         for batch in batches:
             for kind in batch.column("kind").unique().to_pylist():
-                if kind not in graphs:
-                    continue
-                part = batch.filter(pa.compute.equal(batch.column("kind"), kind))
-                first, graph = graphs[kind]
-                x = unit(_matrix(part.column("vec"), graph.centroids.shape[1]))
-                asks, own, n = part.column("query").to_numpy(zero_copy_only=False), part.column("id"), len(graph.centroids)
-                raw = x.astype(np.float16)
-                bytes_ = raw.shape[1] * 2
-                for at in range(0, len(x), ROWS_AT_ONCE):
-                    block = slice(at, at + ROWS_AT_ONCE)
-                    ask = at + np.flatnonzero(asks[block])
-                    row, to = _lists(graph, x[block], postings)
-                    kept = (at + row) * n + to
-                    row, to = _lists(graph, x[ask], probes)
-                    sought = ask[row] * n + to
-                    pairs = np.union1d(kept, sought)
-                    role = np.isin(pairs, kept) * _POSTING + np.isin(pairs, sought) * _QUERY
-                    for lo in range(0, len(pairs), 50_000):
-                        r, to = np.divmod(pairs[lo : lo + 50_000], n)
-                        vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bytes_), len(r), [None, pa.py_buffer(raw[r].tobytes())]).cast(pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(first + to, pa.int32()), pa.array(role[lo : lo + 50_000], pa.int8()), own.take(pa.array(r)), vectors], ["list", "role", "id", "vec"])
+                if kind in kinds:
+                    part = batch.filter(pa.compute.equal(batch.column("kind"), kind))
+                    for at in range(0, part.num_rows, 4096):
+                        yield from placed(kinds[kind], part.slice(at, 4096))
+
+    def placed(kind: KindIndex, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raw = np.ascontiguousarray(_matrix(rows.column("vec"), kind.graph.centroids.shape[1]), np.float32)
+        ids, asks = rows.column("id").to_numpy(), rows.column("query").to_numpy(zero_copy_only=False)
+        row, to, place = kind.graph.within(unit(raw), PROBE_RATIO)
+        far = _distance(unit(raw)[row], kind.graph.centroids[to])
+        nearest = np.full(len(ids), np.inf)
+        np.minimum.at(nearest, row, far)
+        kept = (place == 0) | ((place < MOST_POSTINGS) & (far <= POSTING_RATIO * nearest[row]))
+        use = kept | asks[row]
+        row, to, kept = row[use], to[use], kept[use]
+        cell = kind.cell_of[to]
+        order = np.lexsort((to, cell, row))
+        row, to, kept, cell = row[order], to[order], kept[order], cell[order]
+        start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])
+        holds = np.logical_or.reduceat(kept, start)
+        # a cell of p parts and g groups has p x g places: postings go to those of their part, queries to those of their group
+        mixed = (ids[row[start]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        p, g = kind.parts[cell[start]], kind.groups[cell[start]]
+        own_p, own_g = (mixed % p.astype(np.uint64)).astype(np.int64), (mixed // np.uint64(64) % g.astype(np.uint64)).astype(np.int64)
+        again = np.repeat(np.arange(len(start)), p * g)
+        at = _ranges(p * g)
+        here_p, here_g = at // g[again] == own_p[again], at % g[again] == own_g[again]
+        posting, asking = holds[again] & here_p, asks[row[start]][again] & here_g
+        some = np.flatnonzero(posting | asking)
+        again, at, posting, asking = again[some], at[some], posting[some], asking[some]
+        upto = np.r_[start, len(row)]
+        lists = [[], []]
+        sizes = [np.zeros(len(again), np.int64), np.zeros(len(again), np.int64)]
+        for i, (wanted, mask) in enumerate(((posting, kept), (asking, np.ones(len(kept), bool)))):
+            length = np.where(wanted, upto[again + 1] - upto[again], 0)
+            item = np.repeat(upto[again], length) + _ranges(length)
+            of = np.repeat(np.arange(len(again)), length)
+            ok = mask[item]
+            lists[i], sizes[i] = to[item[ok]], np.bincount(of[ok], minlength=len(again))
+        vectors = raw[row[start][again]]
+        binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(vectors.shape[1] * 4), len(vectors), [None, pa.py_buffer(vectors.tobytes())]).cast(pa.binary())
+        listed = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(v, pa.int32())) for v, n in zip(lists, sizes)]
+        columns = [pa.array(kind.first + cell[start][again], pa.int32()), pa.array(at, pa.int32()), pa.array(np.where(posting, 0, 1), pa.int8()), pa.array(ids[row[start]][again]), binary, *listed]
+        out = pa.RecordBatch.from_arrays(columns, ["cell", "part", "tag", "id", "vec", "held", "asked"])
+        yield from (out.slice(lo, 8192) for lo in range(0, out.num_rows, 8192))
 
     import pyarrow.compute  # noqa: F401
 
     return run
 
 
-def _searcher(k: int, least: float | None) -> Callable[[pa.Table], pa.Table]:
-    """Within one list: for each of its queries the k most similar postings, or those of at least ``least`` among them."""
-
-    def run(table: pa.Table) -> pa.Table:
-        role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
-        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
-        kept, asks = np.flatnonzero(role & _POSTING), np.flatnonzero(role & _QUERY)
-        postings, p_ids = x[kept], ids[kept]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(1, 4_000_000 // max(1, len(kept)))
-        for lo in range(0, len(asks) if len(kept) else 0, step):
-            rows = asks[lo : lo + step]
-            sims = x[rows] @ postings.T
-            own = p_ids == ids[rows][:, None]
-            sims[own] = -2
-            if least is not None:
-                q, p = np.nonzero(sims >= least)
-            else:
-                n = min(k, len(kept))
-                p = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                q = np.repeat(np.arange(len(rows)), n)
-                p = p.ravel()
-                real = sims[q, p] > -2
-                q, p = q[real], p[real]
-            out.append((ids[rows[q]], p_ids[p], sims[q, p]))
-        q, p, s = (np.concatenate(c) if out else np.empty(0) for c in (zip(*out) if out else ([], [], [])))
-        return pa.table({"id": pa.array(q, pa.int64()), "neighbour": pa.array(p, pa.int64()), "similarity": pa.array(s, pa.float64())})
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * np.einsum("nd,nd->n", x, y)))
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
+
+
+class _Cell:
+    """The postings of one place of a cell."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        self.id = np.concatenate([b.column("id").to_numpy() for b in batches])
+        self.raw = np.concatenate([_vectors(b.column("vec")) for b in batches])
+        self.unit = unit(self.raw)
+        self.lists: dict[int, np.ndarray] = {}
+        of = np.concatenate([b.column("held").flatten().to_numpy() for b in batches])
+        n = np.concatenate([np.diff(b.column("held").offsets.to_numpy()) for b in batches])
+        order = np.argsort(of, kind="stable")
+        row = np.repeat(np.arange(len(n)), n)[order]
+        for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of[order])) + 1) if len(of) else []:
+            self.lists[int(of[order[part[0]]])] = row[part]
+
+    def nearest(self, batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+        """The k most similar postings of the lists that each row of the batch asks, scored exactly."""
+        asked = batch.column("asked")
+        to = asked.flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+        ids, raw = batch.column("id").to_numpy(), _vectors(batch.column("vec"))
+        x = unit(raw)
+        order = np.argsort(to, kind="stable")
+        found = []
+        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(to) else []:
+            held = self.lists.get(int(to[part[0]]))
+            if held is None:
+                continue
+            most = min(k + SPARE, len(held))
+            for rows in np.split(row[part], range(4096, len(part), 4096)):
+                sims = x[rows] @ self.unit[held].T
+                sims[self.id[held] == ids[rows][:, None]] = -2
+                at = np.argpartition(-sims, most - 1, axis=1)[:, :most] if most < len(held) else np.broadcast_to(np.arange(most), sims.shape)
+                found.append((np.repeat(rows, most), held[at].ravel(), np.take_along_axis(sims, at, 1).ravel()))
+        if not found:
+            return
+        q, p, s = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((p, q))
+        q, p, s = q[order], p[order], s[order]
+        fresh = np.r_[True, (q[1:] != q[:-1]) | (p[1:] != p[:-1])] & (s > -2)  # a posting may be in several lists of the cell
+        q, p, s = _first(q[fresh], p[fresh], s[fresh], self.id, k + SPARE)
+        a, b = raw[q].astype(np.float64), self.raw[p].astype(np.float64)
+        s = np.einsum("nd,nd->n", a, b) / np.sqrt(np.einsum("nd,nd->n", a, a) * np.einsum("nd,nd->n", b, b))
+        q, p, s = _first(q, p, s, self.id, k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(self.id[p]), pa.array(s)], ["id", "neighbour", "similarity"])
+
+
+def _first(q: np.ndarray, p: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k most similar of each query; ties go to the smaller id."""
+    order = np.lexsort((ids[p], -s, q))
+    q, p, s = q[order], p[order], s[order]
+    begin = np.r_[True, q[1:] != q[:-1]] if len(q) else np.empty(0, bool)
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(begin, np.arange(len(q)), 0)) if len(q) else q
+    return q[place < k], p[place < k], s[place < k]
+
+
+def _searcher(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Searches one place of a cell after another: its postings come first and are held, queries stream past them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, cell = None, [], None
+        for whole in itertools.chain(batches, [None]):
+            runs = []
+            if whole is not None and whole.num_rows:
+                columns = [whole.column(c).to_numpy() for c in ("cell", "part", "tag")]
+                cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+                runs = [(tuple(int(c[lo]) for c in columns), whole.slice(lo, hi - lo)) for lo, hi in zip([0, *cuts], [*cuts, whole.num_rows])]
+            for (c, part, tag), rows in runs or ([((-1, -1, 1), None)] if whole is None else []):
+                if kept and ((c, part) != now or tag):  # the postings are complete
+                    cell = _Cell(kept)
+                    for b in kept:
+                        yield from cell.nearest(b, k)
+                    kept = []
+                if (c, part) != now:
+                    now, cell = (c, part), cell if (c, part) == now else None
+                if tag == 0:
+                    kept.append(rows)
+                elif rows is not None and cell is not None:
+                    yield from cell.nearest(rows, k)
 
     return run
 
@@ -123,8 +205,8 @@ def usable(vec: Column, dim: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) == dim) & ~F.isnan(square) & (square > 0) & (square < float("inf"))
 
 
-def _index(reps: DataFrame, counts: dict[str, int], seed: int) -> dict[str, tuple[int, CentroidGraph]]:
-    """For each kind the number of its first list and the graph over its centroids, fitted on a bounded sample."""
+def _index(reps: DataFrame, counts: dict[str, int], seed: int) -> dict[str, KindIndex]:
+    """The index of each kind, fitted on a bounded sample."""
     wanted = {kind: min(SAMPLE_MOST, max(SAMPLE_LEAST, n // SAMPLE_EVERY)) for kind, n in counts.items()}
     share = F.coalesce(*[F.when(F.col("kind") == kind, min(1.0, wanted[kind] / n)) for kind, n in counts.items()]) if counts else F.lit(0.0)
     hashed = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_003)) / 1_000_003
@@ -138,28 +220,45 @@ def _index(reps: DataFrame, counts: dict[str, int], seed: int) -> dict[str, tupl
             part = part.chunk(0)
         x = unit(_matrix(part, len(part[0])))[: 2 * SAMPLE_MOST]
         rng = np.random.default_rng(seed)
-        graph = CentroidGraph(balanced_centroids(x, max(8, round(LIST_SIZE * len(x) / counts[kind])), rng), rng)
-        found[kind] = (first, graph)
-        first += len(graph.centroids)
+        centroids, sizes = balanced_centroids(x, max(8, round(LIST_SIZE * len(x) / counts[kind])), rng)
+        found[kind] = _in_cells(CentroidGraph(centroids, rng), sizes * (counts[kind] / len(x)), x, counts[kind] / len(x), first)
+        first += len(found[kind].parts)
     return found
 
 
-def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS, least: float | None = None, queries: Column | None = None, postings: Reach = POSTINGS, probes: Reach = PROBES, seed: int = 1) -> DataFrame:
+def _in_cells(graph: CentroidGraph, sizes: np.ndarray, sample: np.ndarray, each: float, first: int) -> KindIndex:
+    """Lists that follow each other make a cell; how many will be kept there and will ask is told from the sample, each vector of which stands for ``each``."""
+    cell_of, held = np.empty(len(sizes), np.int64), []
+    for i, n in enumerate(sizes):
+        if not held or held[-1] + n > CELL_POSTINGS:
+            held.append(0.0)
+        held[-1] += n
+        cell_of[i] = len(held) - 1
+    few = sample[:: max(1, len(sample) // 4096)]
+    row, to, _ = graph.within(few, PROBE_RATIO)
+    asking = np.bincount(np.unique(row * len(held) + cell_of[to]) % len(held), minlength=len(held)) * each * len(sample) / len(few)
+    parts = lambda n, most: np.maximum(1, np.ceil(np.asarray(n) / most)).astype(np.int64)
+    return KindIndex(graph, cell_of, first, parts(held, 2 * CELL_POSTINGS), parts(asking, CELL_QUERIES))
+
+
+def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS, queries: Column | None = None, seed: int = 1) -> DataFrame:
     """For every query the k most similar other vectors of its kind: id, neighbour, similarity, rank.
 
     ``vectors`` has id (long, unique), kind (string), dim (int) and vec (array of floats). Unusable vectors
     (see ``usable``), and such without id or kind, neither ask nor are found. ``queries`` says which
-    rows ask, all by default; ``least`` leaves out less similar neighbours early. Similarity
-    is the cosine, from half-precision coordinates (off by 0.001 at most); ties go to the smaller id.
+    rows ask, all by default. Similarity is the cosine: lists are searched in single precision, and what is
+    kept, with SPARE more, is scored again in double precision; ties go to the smaller id.
 
     * Posting lists: balanced clusters, fitted on a bounded sample by splitting clusters
       until they are small; every vector is indexed. A vector at a boundary is kept in all lists that are
-      hardly farther than its nearest (``postings``); a query reads all lists within a
-      distance ratio (``probes``), however many there are: for these it is compared with every
-      centroid. Where a number bounds the lists, nearest centroids come from a beam search over a
-      graph in memory. Only centroids and their graph go to all tasks: at most 2 SAMPLE_MOST / 8 for a kind.
-    * A row goes to a list once, whether it is posting, query or both, and lists meet
-      as groups, each a matrix product.
+      hardly farther than its nearest (POSTING_RATIO); a query reads all lists within a
+      distance ratio (PROBE_RATIO), however many there are. Both come from one beam search over a
+      graph of the centroids in memory, which widens until it is past the ratio. Only centroids and their graph go to
+      all tasks: at most 2 SAMPLE_MOST / 8 for a kind.
+    * Lists that lie next to each other make a cell. A row goes to a cell once, with the lists of it that it is kept in and
+      asks. A task holds the postings of a cell, some CELL_POSTINGS, and queries stream past them. A list or cell
+      with more postings (a hot one, or all of them in a very large collection) is cut in parts, each of which meets its queries; a cell that very many ask is
+      repeated for groups of them. Both numbers are told from the sample.
     * Vectors stored again are searched once; their copies share the result and are
       each other's first neighbours, of which only the first k + 1 ids are needed.
 
@@ -170,24 +269,23 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS, least: float | None
     scratch = Scratch(spark, "neighbours")
     asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     rows = vectors.where(F.col("id").isNotNull() & F.col("kind").isNotNull() & usable(F.col("vec"), F.col("dim")))
-    rows = rows.select("id", F.concat_ws("/", "kind", F.col("dim").cast("string")).alias("kind"), "vec", asks.alias("query"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
+    rows = rows.select("id", F.concat_ws("/", "kind", F.col("dim").cast("string")).alias("kind"), "vec", asks.alias("query"))
+    light = scratch.write(rows.select("id", "kind", "query", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2")))
     same = ["kind", "h1", "h2"]
-    groups = rows.groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("query").alias("asked"))
-    again = scratch.write(groups.where("n > 1").select(*same, "rep", "asked"))
-    reps = rows.join(again, same, "left").where("rep is null or rep = id").select("id", "kind", F.coalesce("asked", "query").alias("query"), "vec")
-    counts = {r[0]: r[1] for r in rows.groupBy("kind").count().collect()}
+    groups = light.groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("query").alias("asked"))
+    copies = scratch.write(light.join(groups.where("n > 1").select(*same, "rep", "asked"), same).select("rep", "id", "asked"))
+    reps = rows.join(copies, "id", "left").where("rep is null or rep = id").select("id", "kind", F.coalesce("asked", "query").alias("query"), "vec")
+    counts = {r[0]: r[1] for r in light.groupBy("kind").count().collect()}
     index = spark.sparkContext.broadcast(_index(reps, counts, seed))
-    placed = reps.mapInArrow(_assigner(index, postings, probes), "list int, role tinyint, id long, vec binary")
-    met = placed.groupBy("list").applyInArrow(_searcher(k, least), "id long, neighbour long, similarity double")
+    placed = reps.mapInArrow(_assigner(index), _PLACED).repartition("cell", "part").sortWithinPartitions("cell", "part", "tag")
+    met = placed.mapInArrow(_searcher(k), "id long, neighbour long, similarity double")
     found = scratch.write(met.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity")))
-    copies = rows.select(*same, "id").join(again, same).select("rep", "id")
-    copies = scratch.write(copies)
     first = copies.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("place") <= k + 1)
     heads = first.select(F.col("rep").alias("neighbour"), F.col("id").alias("copy"))
     tails = copies.select(F.col("rep").alias("id"), F.col("id").alias("member"))
     spread = found.join(heads, "neighbour", "left").select("id", F.coalesce("copy", "neighbour").alias("neighbour"), "similarity")
     spread = spread.join(tails, "id", "left").select(F.coalesce("member", "id").alias("id"), "neighbour", "similarity")
-    equal = copies.join(first.select("rep", F.col("id").alias("neighbour")), "rep").where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("similarity"))
+    equal = copies.select("rep", "id").join(first.select("rep", F.col("id").alias("neighbour")), "rep").where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("similarity"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     out = spread.unionByName(equal)
     if queries is not None:
@@ -201,7 +299,8 @@ def _embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = nearest_vectors(_embeddings(spark, folder), least=FOUND_SIMILARITY, probes=CLOSE_PROBES)
+    """Close pairs among the ten nearest of every vector."""
+    found = nearest_vectors(_embeddings(spark, folder)).where(F.col("similarity") >= FOUND_SIMILARITY)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tellstone.llm import neighbours
 from tellstone.llm.centroids import CentroidGraph, balanced_centroids, unit
-from tellstone.llm.neighbours import FOUND_SIMILARITY, CLOSE_PROBES, nearest_vectors, p1_nearest
+from tellstone.llm.neighbours import FOUND_SIMILARITY, nearest_vectors, p1_nearest
 
 SCHEMA = "id long, kind string, vec array<float>, dim int, rep string, list int"
 
@@ -46,6 +46,23 @@ def test_recall_with_many_lists(spark, monkeypatch):
     assert np.mean(hits) / 10 >= 0.9
 
 
+def test_long_lists_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_POSTINGS", 100)
+    monkeypatch.setattr(neighbours, "CELL_QUERIES", 300)
+    rng = np.random.default_rng(8)
+    n, d = 4000, 16
+    x = rng.normal(size=(n, d))
+    x[: n // 3] = x[0] + 1e-3 * rng.normal(size=(n // 3, d))  # a third of all in one place
+    got = {}
+    rows = nearest_vectors(frame(spark, [(i, "a", v, d) for i, v in enumerate(x)])).collect()
+    for r in rows:
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = [len(got[i] & set(true_neighbours(u, i, 10).tolist())) for i in range(0, n, 13)]
+    assert np.mean(hits) / 10 >= 0.9 and len(rows) == 10 * n
+    assert all(abs(r["similarity"] - u[r["id"]] @ u[r["neighbour"]]) < 1e-6 for r in rows[:500])
+
+
 def test_recall_on_the_data(spark, folder):
     rows = spark.read.parquet(f"{folder}/prebaked_embeddings.parquet").select("id", "embedding_type", "embedding", "embedding_dim").collect()
     by = {}
@@ -91,7 +108,7 @@ def test_close_pairs(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 16))
     x[1500:] = x[:1500] + 0.02 * rng.normal(size=(1500, 16))
-    rows = nearest_vectors(frame(spark, [(i, "a", v, 16) for i, v in enumerate(x)]), least=FOUND_SIMILARITY, probes=CLOSE_PROBES).collect()
+    rows = nearest_vectors(frame(spark, [(i, "a", v, 16) for i, v in enumerate(x)])).where(F.col("similarity") >= FOUND_SIMILARITY).collect()
     pairs = {tuple(sorted((r["id"], r["neighbour"]))) for r in rows}
     assert {(i, i + 1500) for i in range(1500)} <= pairs
 
@@ -111,7 +128,8 @@ def test_graph_finds_nearest_centroids():
 def test_clusters_are_balanced():
     rng = np.random.default_rng(5)
     x = unit(np.concatenate([rng.normal(size=(2000, 8)), 0.05 * rng.normal(size=(1000, 8)) + 1]))
-    c = balanced_centroids(x, 50, rng)
+    c, _ = balanced_centroids(x, 50, rng)
     sizes = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
     assert sizes.max() <= 150 and len(c) >= 60
-    assert len(balanced_centroids(np.repeat(x[:1], 500, axis=0), 50, rng)) >= 1
+    c, n = balanced_centroids(np.repeat(x[:1], 500, axis=0), 50, rng)
+    assert len(c) == 1 and n.tolist() == [500]
