@@ -83,7 +83,7 @@ def _adder(spill: str, memory: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 else:
                     con.register("part", pyarrow.dataset.dataset(folder, format="parquet"))
                 found = con.execute("select term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from part group by term")
-                yield from found.to_arrow_reader(50_000) if hasattr(found, "to_arrow_reader") else found.fetch_record_batch(50_000)
+                yield from found.fetch_record_batch(50_000)
             shutil.rmtree(room, ignore_errors=True)
 
     import pyarrow.dataset

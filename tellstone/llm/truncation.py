@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from tellstone.session import Scratch
 from tellstone.sources.tables import read_table
 
-# Abbreviations whose full stop ends no sentence (English, German, French, Dutch, Spanish).
-ABBREVIATIONS = ["cf", "Cf", "vgl", "Vgl", "Nr", "nr", "no", "No", "núm", "Núm", "Reg", "pp", "vol", "Vol", "Fig", "bzw", "hrsg"]
-# Signs of omission at the end of a text, with the replacement character of a cut byte sequence.
-OMISSION = r"(?:…|\.\.\.|�|\[\+\d[\d.,]*\s?\p{L}+\]|\[(?:truncated|cut|more|gekürzt|tronqué|ingekort|cortado)\])"
-#: Characters before the end that hold the last token, with its punctuation, and the one before it.
-END_CHARS = 512
-#: A length is taken for a limit of its source if so many texts have it, at least half of them without an end.
-LIMIT_TEXTS = 5
+#: Quotation marks and brackets, which may stand around the mark that ends a sentence.
+CLOSERS = r"[\"'”“„’‘»«›‹()\[\]\p{Cf}]"
+#: A text is finished if at least so many of the places with its last token, or such a mark, have a sentence begin after them.
+ENDS_SENTENCE = 0.5
+#: Weight of what is known of the mark alone against the places of the token itself.
+MARK_WEIGHT = 3
+#: Texts of one source and length, at least half of them unfinished, that make the length a limit.
+LIMIT_TEXTS = 2
+# a token that ends in a mark, and the next one in the line; marks that stand by themselves belong to the token before
+_LOOSE = r"[\"'”“’»›?!]"
+_ENDED_PAIR = rf"(?<![^\s\p{{Z}}])(?=([^\s\p{{Z}}]++(?<=[^\p{{L}}\p{{N}}])\p{{Zs}}+(?:{_LOOSE}+\p{{Zs}}+)?+(?!{_LOOSE}+(?:[\s\p{{Z}}]|$))[^\s\p{{Z}}]++))"
 
 
 def bare_end(text: Column) -> Column:
@@ -30,11 +33,6 @@ def last_block(body: Column) -> Column:
     return F.substring_index(F.regexp_replace(F.substring_index(body, "\n", -1), r"[\r\u2028\u2029]|[\s\p{Z}]{2,}", "\n"), "\n", -1)
 
 
-def final_token(block: Column) -> Column:
-    """The last token, without punctuation around it."""
-    return core_of(F.substring_index(F.regexp_replace(block, r"[\s\p{Z}]", " "), " ", -1))
-
-
 def core_of(token: Column) -> Column:
     """A token without punctuation around it."""
     return F.regexp_replace(F.regexp_replace(token, r"^[^\p{L}\p{N}]+", ""), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]+$", "")
@@ -47,30 +45,67 @@ def closing_line(block: Column) -> Column:
     return F.when(has, found).otherwise("")
 
 
-def end_of_text(block: Column) -> Column:
-    """How a text ends: ``marked`` (omission), ``line`` (open transliteration line), ``open``, ``closing`` or ``finished``."""
-    closers = r"[\s\p{Z}]?[\"'”“’»›)\]]*"
-    tail = F.right(block, F.lit(END_CHARS))  # for what only concerns the last token
-    finished = tail.rlike(rf"[.!?]{closers}$|[)\]]{closers}$")
-    # a quotation counts as unclosed if no other sentence follows the one that it opens with
+def closed_up(block: Column) -> Column:
+    """A block whose last marks, if they stand by themselves (as after French sentences), follow the word before."""
+    return F.regexp_replace(block, r"[\s\p{Z}]+([\"'”“’»›?!]+)$", "$1")
+
+
+def last_token(block: Column) -> Column:
+    return F.substring_index(F.regexp_replace(block, r"[\s\p{Z}]", " "), " ", -1)
+
+
+def ending_key(token: Column) -> Column:
+    """A token as sentence ends are counted for it: without quotation marks and brackets, and with 0 for every digit."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(token, CLOSERS, ""), r"^[^\p{L}\p{N}]+(?=[\p{L}\p{N}])", ""), r"\p{Nd}", "0")
+
+
+def mark_of(key: Column) -> Column:
+    """What follows the last letter or digit."""
+    return F.regexp_extract(key, r"([^\p{L}\p{N}]*)$", 1)
+
+
+def sentence_ends(body: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From all texts (column ``body``), for tokens that end in a mark and for the marks: how often another token follows in the line, and how often it begins a sentence.
+
+    (key, n, n_start) and (mark, mark_share). A token in capitals begins a sentence, unless it is an abbreviation. Abbreviations
+    are tokens after which sentences seldom begin (found first with all capitals counted, then again); commas are
+    marks after which they don't; signs of omission are marks that nothing ever follows. Tokens without letters say nothing.
+    """
+    scratch = Scratch(body.sparkSession, "sentence-ends")
+    pairs = body.where("body <> ''").select(F.explode(F.regexp_extract_all("body", F.lit(_ENDED_PAIR), F.lit(1))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    blank = F.regexp_replace("pair", r"\p{Zs}", " ")
+    key, after = ending_key(F.substring_index(blank, " ", 1)), F.substring_index(blank, " ", -1)
+    start = after.rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
+    counts = pairs.select(key.alias("key"), start.alias("start"), F.when(start & (mark_of(ending_key(after)) != ""), ending_key(after)).otherwise("").alias("next"), "n").where(F.col("key").rlike(r"\p{L}") & (mark_of(F.col("key")) != ""))
+    counts = scratch.write(counts.groupBy("key", "start", "next").agg(F.sum("n").alias("n")))
+    starts = lambda ok: F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("n_start")
+    first = counts.groupBy("key").agg(F.sum("n").alias("n"), starts(F.col("start")))
+    seldom = (F.col("n_start") < ENDS_SENTENCE * F.col("n")) & (F.col("n") >= MARK_WEIGHT)
+    short = first.where(seldom).select(F.col("key").alias("next"), F.lit(True).alias("short"))
+    tokens = scratch.write(counts.join(short, "next", "left").groupBy("key").agg(F.sum("n").alias("n"), starts(F.col("start") & F.col("short").isNull())))
+    return tokens, tokens.where(~seldom).groupBy(mark_of(F.col("key")).alias("mark")).agg((F.sum("n_start") / F.sum("n")).alias("mark_share"))
+
+
+def unclosed(block: Column) -> Column:
+    """Whether a bracket or quotation is open at the end; a quotation counts as open if no other sentence follows the one that it opens with."""
     odd_quotes = (F.length(block) - F.length(F.replace(block, F.lit('"'), F.lit("")))) % 2 == 1
-    unclosed = (
+    return (
         block.rlike(r"\([^()]*$")
         | block.rlike(r"«[^».!?]*[.!?]?$")
         | block.rlike(r"„[^“”.!?]*[.!?]?$")
         | block.rlike(r"(?:^|\s)'(?=[\p{Lu}¿¡])[^'.!?]*[.!?]?$")
         | (odd_quotes & block.rlike(r'"[^".!?]*[.!?]?$'))
     )
-    abbreviated = tail.rlike(rf"(?:^|[\s\p{{Z}}(])(?:{'|'.join(ABBREVIATIONS)})\.$")
-    numbered = block.rlike(r"^\s*\d+'?(?:\.|$)(?:\s|$)")
-    bare_number = tail.rlike(r"(?:[.!?][\"'”“’»›)\]]*|\p{No}|-\S*)\s+\d+'?\.$")
-    return (
-        F.when(tail.rlike(rf"{OMISSION}{closers}$"), "marked")
-        .when(closing_line(block) != "", F.when(block.rlike(r"[;,:\-]$"), "open").otherwise("closing"))
-        .when(numbered, "line")
-        .when(~finished | unclosed | abbreviated | bare_number, "open")
-        .otherwise("finished")
-    )
+
+
+def numbered_line(block: Column) -> Column:
+    """Whether a block is a numbered line of a transliteration, or ends in the number of the next."""
+    return block.rlike(r"^\s*\d+'?(?:\.|$)(?:\s|$)")
+
+
+def bare_number(block: Column) -> Column:
+    """Whether a text in one line ends in the number of a line that is missing."""
+    return block.rlike(r"(?:[.!?][\"'”“’»›)\]]*|\p{No}|-[^\s\p{Z}]*)\s+\d+'?\.$")
 
 
 def _stored_tokens(body: Column) -> Column:
@@ -79,22 +114,22 @@ def _stored_tokens(body: Column) -> Column:
     return F.array_distinct(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))))
 
 
-def truncated(docs: DataFrame) -> DataFrame:
-    """Every document with ``cut`` (boolean), ``cut_in`` (word, sentence, line or null) and ``at_limit``.
+def truncated(docs: DataFrame, structure: bool = True) -> DataFrame:
+    """Every document with ``cut`` (boolean), ``cut_in`` (word, sentence, line or null), ``evidence`` and ``at_limit``.
 
-    ``docs`` has doc_id (unique), text and source. Evidence:
+    ``docs`` has doc_id (unique), text and source. The end of a text, without blanks and markup after it, is judged by what the corpus itself shows:
 
-    * The end of the text: without blanks and markup after it, a complete text ends in a
-      finished sentence or bracket, or in a closing line; anything else, an omission sign,
-      an unclosed bracket or quotation, an abbreviation, is a cut.
-    * The vocabulary of the corpus as a trie, one row a node (a prefix, and whether words go on
-      from it): a final token that is no known word but a proper prefix of known words
-      was cut. In texts without an end this tells a cut word from a cut sentence; in a closing
-      line it is decisive.
-    * The length: a length in characters or bytes that several texts of a source share,
-      at least half of them without an end, is a limit of the source. A sentence that seems
-      finished was cut too if its text has such a length and its final token is such a prefix
+    * ``trie``: the vocabulary of the corpus as a trie, one row a node (a prefix, and whether words go on
+      from it). A final token that is no known word but a proper prefix of known words was cut.
+    * ``ending``: the trie's words with the marks that close them. A sentence ends where the last token, or its mark, is one
+      after which sentences begin elsewhere in the corpus; which marks end sentences and which tokens are abbreviations is learnt
+      (``sentence_ends``). A last token without such an end is a node at which no text ends. A finished round bracket ends a text too.
+    * ``length``: a length in characters or bytes that several texts of a source share,
+      at least half of them unfinished, is a limit of the source. A sentence that seems
+      finished was cut too if its text has such a length and its final token is a proper prefix of known words
       (``DE.`` of ``DE.NA``).
+    * ``structure``: an open bracket or quotation, a numbered line of a transliteration, a closing
+      line (state, signature, subjects) that longer ones begin with. Without ``structure`` only closing lines are told apart.
 
     A word counts once a document and form, never in the place where a text may have been cut. The trie
     holds all words, however rare or long, but only nodes that some document ends with (prefixes of the lengths that
@@ -104,43 +139,72 @@ def truncated(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "truncation")
     body = docs.select("doc_id", "source", "text", bare_end(F.col("text")).alias("body"))
-    ends = body.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), "body", last_block(F.col("body")).alias("block"))
+    ends = body.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), (F.coalesce("body", F.lit("")) == "").alias("blank"), closed_up(last_block(F.col("body"))).alias("block"))
+    token = F.regexp_replace(last_token(F.col("block")), r"(?<=[\p{L}\p{N}])(?:…|\.{3}|�)+$", "")
+    # a note in square brackets after the end is not the author's; what stands before it was cut
+    note = F.col("block").rlike(r"[^\s\p{Z}][\s\p{Z}]*\[[^\[\]]*\]$")
+    before = F.when(note, last_token(F.regexp_replace("block", r"[\s\p{Z}]*\[[^\[\]]*\]$", ""))).otherwise(token)
     ends = scratch.write(
-        ends.select("doc_id", "source", "chars", "bytes", F.when(F.coalesce(F.col("body"), F.lit("")) == "", "blank").otherwise(end_of_text(F.col("block"))).alias("end"),
-                    final_token(F.regexp_replace("block", rf"{OMISSION}$", "")).alias("final"), closing_line(F.col("block")).alias("closing"))
+        ends.select(
+            "doc_id", "source", "chars", "bytes", "blank", ending_key(last_token(F.col("block"))).alias("key"), core_of(before).alias("final"), closing_line(F.col("block")).alias("closing"), block_open(structure).alias("open_in"),
+            (F.col("block").rlike(r"\([^()]*\)[\"'”“’»›]*$") & ~note).alias("bracket"), note.alias("note"),
+        )
     )
+    tokens, marks = sentence_ends(body)
     # the trie, as far as texts end in it
-    tokens = body.where("body <> ''").select(F.explode(_stored_tokens(F.col("body"))).alias("token")).distinct()
-    known = scratch.write(tokens.select(core_of(F.col("token")).alias("word")).where("word <> ''").distinct())
-    finals = ends.where("end <> 'blank' and final <> ''").select(F.col("final").alias("node")).distinct()
+    stored = body.where("body <> ''").select(F.explode(_stored_tokens(F.col("body"))).alias("token")).distinct()
+    known = scratch.write(stored.select(core_of(F.col("token")).alias("word")).where("word <> ''").distinct())
+    finals = ends.where("not blank and final <> ''").select(F.col("final").alias("node")).distinct()
     finals = scratch.write(finals.join(known.select(F.col("word").alias("node")), "node", "left_anti"))
     sizes = finals.select(F.length("node").alias("size")).distinct()
     inner = known.join(F.broadcast(sizes), F.col("size") < F.length("word")).select(F.substring(F.col("word"), F.lit(1), F.col("size")).alias("node"))
     trie = scratch.write(finals.join(inner.distinct(), "node", "left_semi"))
     # the same for whole closing lines: one that many longer lines begin with, word by word, stops early
-    lines = scratch.write(ends.where("end = 'closing' and (closing like '$%' or closing like '—%')").groupBy("closing").agg(F.count(F.lit(1)).alias("n")))
+    lines = scratch.write(ends.where("closing like '$%' or closing like '—%'").groupBy("closing").agg(F.count(F.lit(1)).alias("n")))
     spaced = F.split("closing", " ", -1)
     starts = lines.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size(spaced)), lambda i: F.array_join(F.slice(spaced, F.lit(1), i), " "))).alias("start"), "closing").where("start <> closing")
     starts = starts.groupBy(F.col("start").alias("closing")).agg(F.sum("n").alias("longer"))
     broken = lines.join(starts, "closing").where("longer >= 3 * n").select("closing", F.lit(True).alias("line_broken"))
-    is_open = F.col("end").isin("marked", "line", "open")
-    limits = None
+    # how sure it is that the last token ends a sentence
+    placed = ends.withColumn("mark", mark_of(F.col("key"))).join(marks, "mark", "left").join(tokens, "key", "left")
+    unseen = F.col("mark").rlike(r"^[.!?。？！．]$").cast("double")  # nothing in the corpus tells: what is a full stop everywhere
+    sure = (F.coalesce("n_start", F.lit(0)) + MARK_WEIGHT * F.coalesce("mark_share", unseen)) / (F.coalesce("n", F.lit(0)) + MARK_WEIGHT)
+    ended = ((sure >= ENDS_SENTENCE) | F.col("bracket")) & ~F.col("note")
+    state = (
+        F.when(F.col("blank"), "blank")
+        .when(F.col("closing") != "", F.when(F.col("open_in") == "mark", "ending").otherwise("closing"))
+        .when(F.col("open_in").isin("line", "unclosed"), F.col("open_in"))
+        .when(~ended, "ending")
+        .otherwise("finished")
+    )
+    judged = scratch.write(placed.select("doc_id", "source", "chars", "bytes", "final", "closing", state.alias("state")))
+    is_open = F.col("state").isin("line", "unclosed", "ending")
+    joined = judged.join(trie.select(F.col("node").alias("final"), F.lit(True).alias("prefix")), "final", "left").join(broken, "closing", "left")
     for unit in ("chars", "bytes"):
-        part = ends.where("end <> 'blank'").groupBy("source", F.col(unit).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_open).alias("n_open")).where(f"n >= {LIMIT_TEXTS} and 2 * n_open >= n")
-        part = part.select("source", F.col("size").alias(unit), F.lit(True).alias(f"limit_{unit}"))
-        limits = (limits or []) + [part]
-    joined = ends.join(trie.select(F.col("node").alias("final"), F.lit(True).alias("prefix")), "final", "left").join(broken, "closing", "left")
-    joined = joined.join(limits[0], ["source", "chars"], "left").join(limits[1], ["source", "bytes"], "left")
+        part = judged.where("state <> 'blank'").groupBy("source", unit).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_open).alias("n_open")).where(f"n >= {LIMIT_TEXTS} and 2 * n_open >= n")
+        joined = joined.join(part.select("source", unit, F.lit(True).alias(f"limit_{unit}")), ["source", unit], "left")
     prefix, at_limit = F.coalesce("prefix", F.lit(False)), F.coalesce("limit_chars", "limit_bytes", F.lit(False))
-    cut_in = (
-        F.when(F.col("end") == "blank", None)
-        .when(F.col("end") == "line", "line")
-        .when(is_open, F.when(prefix, "word").otherwise("sentence"))
-        .when(F.col("end") == "closing", F.when(prefix, "word").when(F.col("line_broken"), "sentence"))
-        .when(at_limit & prefix, "word")
+    told = lambda where, by: F.struct(F.lit(where).alias("cut_in"), by.alias("evidence"))
+    found = (
+        F.when(F.col("state") == "blank", None)
+        .when(F.col("state") == "line", told("line", F.lit("structure")))
+        .when(is_open & prefix, told("word", F.lit("trie")))
+        .when(is_open, told("sentence", F.when(F.col("state") == "unclosed", "structure").otherwise("ending")))
+        .when((F.col("state") == "closing") & prefix, told("word", F.lit("trie")))
+        .when((F.col("state") == "closing") & F.col("line_broken"), told("sentence", F.lit("structure")))
+        .when((F.col("state") == "finished") & at_limit & prefix, told("word", F.lit("length")))
     )
-    judged = joined.select("doc_id", "source", cut_in.alias("cut_in"), (at_limit & (F.col("end") != "blank")).alias("at_limit"))
-    return judged.select("doc_id", F.nullif("source", F.lit("")).alias("source"), F.col("cut_in").isNotNull().alias("cut"), "cut_in", "at_limit")
+    out = joined.select("doc_id", F.nullif("source", F.lit("")).alias("source"), found.alias("found"), (at_limit & (F.col("state") != "blank")).alias("at_limit"))
+    return out.select("doc_id", "source", F.col("found").isNotNull().alias("cut"), "found.cut_in", "found.evidence", "at_limit")
+
+
+def block_open(structure: bool) -> Column:
+    """What is open in a block: a line, a bracket or quotation, a mark after which more must follow; null for nothing."""
+    block = F.col("block")
+    more = F.when(block.rlike(r"[;,:\-]$"), "mark")
+    if not structure:
+        return more
+    return F.when(numbered_line(block), "line").when(unclosed(block) | bare_number(block), F.when(closing_line(block) == "", "unclosed").otherwise(more)).otherwise(more)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,5 +219,10 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates}
+def p10_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document that was cut, in what and what tells."""
+    return truncated(read_table(spark, folder, "documents", "doc_id", "text", "source")).where("cut").select("doc_id", "cut_in", "evidence", "at_limit")
+
+
+QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates, "p10_evidence": p10_evidence}
 SQL: dict[str, str] = {}

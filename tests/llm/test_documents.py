@@ -145,6 +145,19 @@ def test_cut_texts(spark):
     assert got[len(whole) + len(cut) - 4]["cut_in"] == "line"
 
 
+def test_endings_are_learnt(spark):
+    texts = [f"The scribe notes zz. {i} and goes on. He stops here~ Then he rests." for i in range(20)]
+    got = judge(spark, [*texts, "A line that ends in zz.", "A line that ends so~", "A line that ends in rests", "A line, that ends.", "A line that ends,"])
+    assert [got[20 + i]["evidence"] for i in range(5)] == ["ending", None, "ending", None, "ending"]
+
+
+def test_without_rules_of_structure(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    by = [{r["doc_id"] for r in truncated(docs, structure).where("cut").collect()} for structure in (True, False)]
+    assert len(by[0] & by[1]) >= 0.9 * len(by[0]) and len(by[1] - by[0]) <= 0.1 * len(by[0])
+    assert truncated(docs).where("evidence in ('trie', 'ending', 'length')").count() >= 0.6 * len(by[0])
+
+
 def test_words_of_the_corpus(spark):
     whole = complete_texts()
     got = judge(spark, [*whole, "The copyist repeats the name of the rul", "The copyist repeats the name of the ruler", "The scribe omits it.\n$ single rul", "The scribe omits it.\n$ single"] + ["The scribe omits it.\n$ single ruling"] * 30)
