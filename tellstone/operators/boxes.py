@@ -39,13 +39,14 @@ def suppressed(detections: DataFrame, limit: float = OVERLAP_LIMIT, round_boxes:
     than ``limit`` (intersection over union). The order lets rounds be exact: the first
     ``round_boxes`` undecided boxes of each image are decided in sequence by one task, then
     all others that overlap a kept one go, in parallel, meeting in cells of a grid; so an image with very
-    many boxes never is one task's work. Null images form one image; boxes with a null coordinate or size
+    many boxes never is one task's work. A box of a null or empty image is of an image that isn't known, overlaps nothing and stays. Boxes with a null coordinate or size
     or confidence are left out. An empty input gives no rows.
     """
     scratch = Scratch(detections.sparkSession, "boxes")
     columns = ["image", "id", "x", "y", "w", "h", "confidence"]
     rows = detections.select(F.coalesce("image", F.lit("")).alias("image"), *columns[1:]).dropna(subset=["x", "y", "w", "h", "confidence"])
-    todo, kept = scratch.write(rows), None
+    unknown = rows.where("image = ''").withColumn("image", F.lit(None).cast("string"))
+    todo, kept = scratch.write(rows.where("image <> ''")), unknown
     types = dict(rows.dtypes)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +75,7 @@ def suppressed(detections: DataFrame, limit: float = OVERLAP_LIMIT, round_boxes:
         first = scratch.write(first)
         ordered = first.repartition("image").sortWithinPartitions("image", F.desc("confidence"), "id").select(*columns)
         stays = scratch.write(ordered.mapInArrow(decide, ", ".join(f"{c} {types[c]}" for c in columns)))
-        kept = stays if kept is None else kept.unionByName(stays)
+        kept = kept.unionByName(stays)
         last = first.groupBy("image").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= round_boxes).select("image")
         rest = todo.join(last, "image", "left_semi").join(first.select("image", "id"), ["image", "id"], "left_anti")
         cells = lambda df: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / CELL), F.floor((F.col("x") + F.greatest("w", F.lit(0))) / CELL)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / CELL), F.floor((F.col("y") + F.greatest("h", F.lit(0))) / CELL))))
@@ -82,4 +83,4 @@ def suppressed(detections: DataFrame, limit: float = OVERLAP_LIMIT, round_boxes:
         overlap = iou(*[F.col(c) for c in "xywh"], *[F.col(f"k_{c}") for c in "xywh"]) > limit
         gone = cells(rest).join(other, ["image", "cx", "cy"]).where(overlap).select("image", "id").distinct()
         todo = scratch.write(rest.join(gone, ["image", "id"], "left_anti"))
-    return kept if kept is not None else rows
+    return kept

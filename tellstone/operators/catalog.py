@@ -62,9 +62,10 @@ def facet_counts(rows: DataFrame, *facets: str, top: int | None = None) -> DataF
 
 
 def first_wins(batch: DataFrame, target: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Rows of the batch to append: the first of each key that the target does not have yet."""
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(*order))
-    return batch.withColumn("_rank", rank).where("_rank = 1").drop("_rank").join(target.select(*key), key, "left_anti")
+    """Rows of the batch to append: the first of each key that the target does not have yet; a partial aggregate, so that no key meets whole."""
+    body = [c for c in batch.columns if c not in key]
+    first = batch.groupBy(*key).agg(F.min_by(F.struct(*body), F.struct(*order)).alias("_row"))
+    return first.select(*key, *[F.col(f"_row.{c}").alias(c) for c in body]).select(*batch.columns).join(target.select(*key).distinct(), key, "left_anti")
 
 
 def last_wins(target: DataFrame, batch: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -60,33 +60,51 @@ def motif_instances(texts: DataFrame) -> DataFrame:
     return texts.select("text_id", "full").mapInPandas(run, "id string, motif_id string, text_id string, position int, matched_text string, confidence double, context string")
 
 
-def motif_profiles(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Different profiles (profile, motifs: map from motif to confidence) and members (text_id, profile).
+def motif_profiles(matches: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Different profiles (profile, entries: motifs with their confidence, n_texts) and members (text_id, profile).
 
-    Texts with the same motifs at the same confidence are one profile; its name is a hash of it.
+    Texts with the same motifs at the same confidence are one profile; its name is a hash of it. With ``texts`` (text_id), those
+    without any motif have the empty profile.
     """
     entries = F.array_sort(F.collect_list(F.struct("motif_id", F.round("confidence", 6).alias("confidence"))))  # at most 26 a text
-    per_text = matches.groupBy("text_id").agg(entries.alias("entries")).withColumn("profile", F.substring(F.md5(F.to_json("entries")), 1, 12))
-    profiles = per_text.groupBy("profile").agg(F.first("entries").alias("entries"), F.count(F.lit(1)).alias("n_texts"))
+    per_text = matches.groupBy("text_id").agg(entries.alias("entries"))
+    if texts is not None:
+        none = F.array().cast("array<struct<motif_id:string,confidence:double>>")
+        per_text = texts.select("text_id").join(per_text, "text_id", "left").withColumn("entries", F.coalesce("entries", none))
+    per_text = per_text.withColumn("profile", F.substring(F.md5(F.to_json("entries")), 1, 12))
+    profiles = per_text.groupBy("profile").agg(F.any_value("entries").alias("entries"), F.count(F.lit(1)).alias("n_texts"))
     return profiles, per_text.select("text_id", "profile")
 
 
 def profile_distances(profiles: DataFrame) -> DataFrame:
-    """profile_1 < profile_2 with the cosine, Jaccard and hybrid distance of profiles that share a motif.
+    """profile_1 <= profile_2 with the cosine, Jaccard and hybrid distance of their texts, and the number of pairs of texts.
 
-    All others have distance 1 in each. Products come from an inverted index of motifs over
-    different profiles, not from a grid of texts. Motifs above PRESENT count for Jaccard.
+    Products come from an inverted index of motifs over different profiles that share one, not from a grid of texts. Pairs
+    within a profile stand in a row of its own, at distance 0; texts without motifs have cosine distance 1 and Jaccard distance 0 from each other. All other pairs
+    share nothing and have distance 1 in each: they are one row without names, with their number. Motifs above PRESENT count for Jaccard.
     """
-    long = profiles.select("profile", F.explode("entries").alias("e")).select("profile", "e.motif_id", "e.confidence")
-    norms = long.groupBy("profile").agg(F.sqrt(F.sum(F.col("confidence") * F.col("confidence"))).alias("norm"), F.count_if(F.col("confidence") > PRESENT).alias("size"))
+    sized = profiles.select("profile", "entries", F.col("n_texts").cast("long").alias("n_texts"))
+    long = sized.select("profile", F.explode("entries").alias("e")).select("profile", "e.motif_id", "e.confidence")
+    norms = long.groupBy("profile").agg(F.sqrt(F.sum(F.col("confidence") * F.col("confidence"))).alias("norm"), F.count_if(F.col("confidence") > PRESENT).alias("size")).join(sized.select("profile", "n_texts"), "profile")
     a, b = (long.select(F.col("profile").alias(f"profile_{i}"), "motif_id", F.col("confidence").alias(f"c{i}")) for i in (1, 2))
-    both = a.join(b, "motif_id").where("profile_1 < profile_2").groupBy("profile_1", "profile_2").agg(F.sum(F.col("c1") * F.col("c2")).alias("dot"), F.count_if((F.col("c1") > PRESENT) & (F.col("c2") > PRESENT)).alias("shared"))
+    both = a.join(b, "motif_id").where("profile_1 < profile_2").groupBy("profile_1", "profile_2").agg(F.sum(F.col("c1") * F.col("c2")).alias("dot"), F.count_if((F.col("c1") > PRESENT) & (F.col("c2") > PRESENT)).alias("n_shared"))
     for i in (1, 2):
-        both = both.join(norms.select(F.col("profile").alias(f"profile_{i}"), F.col("norm").alias(f"norm{i}"), F.col("size").alias(f"size{i}")), f"profile_{i}")
+        both = both.join(norms.select(F.col("profile").alias(f"profile_{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("norm", "size", "n_texts")]), f"profile_{i}")
     cosine = F.coalesce(1 - F.try_divide(F.col("dot"), F.col("norm1") * F.col("norm2")), F.lit(1.0))
-    union = F.col("size1") + F.col("size2") - F.col("shared")
-    jaccard = F.when(union == 0, 0.0).otherwise(1 - F.col("shared") / union)
+    union = F.col("size1") + F.col("size2") - F.col("n_shared")
+    jaccard = F.when(union == 0, 0.0).otherwise(1 - F.col("n_shared") / union)
     wc, wj = HYBRID_WEIGHTS
-    return both.select(
-        "profile_1", "profile_2", F.col("shared").alias("n_shared"), F.round(cosine, 6).alias("cosine_distance"), F.round(jaccard, 6).alias("jaccard_distance"), F.round(wc * cosine + wj * jaccard, 6).alias("hybrid_distance")
+    measured = lambda df, c, j: df.select(
+        "profile_1", "profile_2", "n_shared", F.round(c, 6).alias("cosine_distance"), F.round(j, 6).alias("jaccard_distance"), F.round(wc * c + wj * j, 6).alias("hybrid_distance"), "n_pairs"
     )
+    between = measured(both.withColumn("n_pairs", F.col("n_texts1") * F.col("n_texts2")), cosine, jaccard)
+    present = F.size(F.filter("entries", lambda e: e["confidence"] > PRESENT)).cast("long")
+    same = sized.where("n_texts > 1").select(F.col("profile").alias("profile_1"), F.col("profile").alias("profile_2"), present.alias("n_shared"), F.floor(F.col("n_texts") * (F.col("n_texts") - 1) / 2).alias("n_pairs"), (F.size("entries") == 0).cast("double").alias("apart"))
+    within = measured(same, F.col("apart"), F.lit(0.0))
+    listed = between.unionByName(within)
+    n = sized.agg(F.coalesce(F.sum("n_texts"), F.lit(0)).alias("n"))
+    rest = listed.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("listed")).crossJoin(n)  # one row each
+    rest = rest.withColumn("n_pairs", F.floor(F.col("n") * (F.col("n") - 1) / 2) - F.col("listed")).where("n_pairs > 0")
+    null = F.lit(None).cast("string")
+    apart = rest.select(null.alias("profile_1"), null.alias("profile_2"), F.lit(0).cast("long").alias("n_shared"), "n_pairs")
+    return listed.unionByName(measured(apart, F.lit(1.0), F.lit(1.0)))

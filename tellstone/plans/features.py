@@ -22,12 +22,15 @@ def term_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distance_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean and spread of the distances between motif profiles, and the closest and the furthest pair."""
-    rows = motif_distances(spark, folder).withColumn("pair", F.concat_ws("/", "profile_1", "profile_2"))
-    d = F.col("hybrid_distance")
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.stddev_pop(d), 6).alias("spread"),
-        F.min_by("pair", F.struct(d, "pair")).alias("closest"), F.min_by("pair", F.struct(-d, "pair")).alias("furthest"),
+    """Mean and spread of the distances between all texts, the closest profiles, and how many pairs are furthest apart."""
+    rows = motif_distances(spark, folder)
+    d, w = F.col("hybrid_distance"), F.col("n_pairs")
+    named = F.when(F.col("profile_1").isNotNull(), F.concat_ws("/", "profile_1", "profile_2"))
+    at = rows.groupBy("hybrid_distance").agg(F.sum(w).alias("n_pairs"), F.min(named).alias("pair"))
+    mean = F.sum(w * d) / F.sum(w)
+    return at.agg(
+        F.sum(w).alias("n"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.sum(w * d * d) / F.sum(w) - mean * mean, F.lit(0.0))), 5).alias("spread"),
+        F.min_by("pair", d).alias("closest"), F.max(d).alias("furthest_distance"), F.max_by("n_pairs", d).alias("n_furthest"),
     )
 
 
@@ -51,7 +54,8 @@ l as (select id, sqrt(sum(x * x)) as l from r group by id), v as (select id, ter
 s as (select a.id, b.id as neighbour, round(sum(a.x * b.x), 9) as s from v a join v b on a.term = b.term and a.id <> b.id where try_cast(regexp_extract(a.id, '(\\d+)$', 1) as bigint) % 20 = 0 group by 1, 2)
 select id, neighbour, round(s, 6) as similarity, cast(row_number() over (partition by id order by s desc, neighbour) as integer) as place from s qualify place <= 3""",
     "distance_findings": f"""
-with x as ({MOTIF_SQL['motif_distances']}), p as (select *, profile_1 || '/' || profile_2 as pair from x)
-select count(*) as n, round(avg(hybrid_distance), 6) as mean, round(stddev_pop(hybrid_distance), 6) as spread,
-  arg_min(pair, (hybrid_distance, pair)) as closest, arg_min(pair, (-hybrid_distance, pair)) as furthest from p""",
+with x as ({MOTIF_SQL['motif_distances']}), p as (select *, profile_1 || '/' || profile_2 as pair from x), f as (select max(hybrid_distance) as f from p)
+select sum(n_pairs)::bigint as n, round(sum(n_pairs * hybrid_distance) / sum(n_pairs), 6) as mean,
+  round(sqrt(sum(n_pairs * hybrid_distance * hybrid_distance) / sum(n_pairs) - (sum(n_pairs * hybrid_distance) / sum(n_pairs)) ** 2), 5) as spread,
+  arg_min(pair, (hybrid_distance, pair)) as closest, max(f) as furthest_distance, (sum(n_pairs) filter (hybrid_distance = f))::bigint as n_furthest from p, f""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tellstone.constants import COMPOUNDS, GENRES, LANGUAGES, MYTH_LABELS, NO_LABEL, PERIOD_MARKERS, RULE_TEMPLATES
 from tellstone.functions import text as X
 from tellstone.operators import readings as R
+from tellstone.session import Scratch
 from tellstone.sinks import exports
 from tellstone.sources.tables import catalog, myths, read_table, tablets
 from tellstone.sources.unions import entry_texts, transliterations
@@ -18,11 +19,16 @@ _C = "(select distinct on (id) * from corpus_catalog order by id)"
 CONTEXT = ["EN", "WE-QU-ḪA"]
 
 
-def _all(spark: SparkSession, folder: str) -> DataFrame:
+def all_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows = transliterations(tablets(spark, folder, "source", "transliteration"), myths(spark, folder, "corpus_source", "transliteration"), catalog(spark, folder, "source_corpus", "transliteration"))
     return rows.select(X.sign_tokens(F.col("transliteration")).alias("tokens"))
 
 
+def written_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once for queries that count them more than once."""
+    return Scratch(spark, "tokens").write(all_tokens(spark, folder))
+
+
 def classified_tablets(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col
     rows = tablets(spark, folder, "source", "title", "cuneiform", "transliteration")
@@ -51,24 +57,24 @@ def transliteration_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    return R.token_totals(_all(spark, folder))
+    return R.token_totals(all_tokens(spark, folder))
 
 
 def sign_cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
-    return R.window_pairs(_all(spark, folder), 3)
+    return R.window_pairs(all_tokens(spark, folder), 3)
 
 
 def context_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return R.context_rules(_all(spark, folder))
+    return R.context_rules(written_tokens(spark, folder))
 
 
 def sign_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    made = R.sign_catalog(read_table(spark, folder, "prebaked_sign_knowledge"), R.token_totals(_all(spark, folder)))
+    made = R.sign_catalog(read_table(spark, folder, "prebaked_sign_knowledge"), R.token_totals(all_tokens(spark, folder)))
     return made.select("sign_id", "unicode", "corpus_frequency", "frequency_rank", F.array_join("sumerian", "|").alias("sumerian"), "observed")
 
 
 def sign_documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _all(spark, folder)
+    rows = written_tokens(spark, folder)
     made = R.sign_catalog(read_table(spark, folder, "prebaked_sign_knowledge"), R.token_totals(rows))
     return exports.sign_documents(made, R.context_rules(rows))
 
@@ -84,7 +90,7 @@ def sign_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sign_readings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _all(spark, folder)
+    rows = written_tokens(spark, folder)
     return R.reading_posteriors(read_table(spark, folder, "prebaked_sign_knowledge"), R.token_totals(rows), R.window_pairs(rows, 3), CONTEXT)
 
 

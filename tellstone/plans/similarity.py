@@ -103,7 +103,18 @@ _GRAMS = lambda w, n: f"list_transform(range(1, greatest(len({w}) - {n - 2}, 1))
 _SHARE = lambda x, y, f: f"case when least(len(list_distinct({x})), len(list_distinct({y}))) > 0 then len(list_intersect(list_distinct({x}), list_distinct({y}))) / {f}(len(list_distinct({x})), len(list_distinct({y}))) else 0 end"
 _NEXT = "contour[case when i = len(contour) then 1 else i + 1 end]"
 _KIND = "case when aspect between 0.3 and 3.0 and extent > 0.3 then case when area < 800 then 'wedge' else 'complex' end when aspect < 0.3 and bbox_h > 30 then 'vertical' when aspect > 3.0 and bbox_w > 30 then 'horizontal' else 'angled' end"
+_IOU = "(greatest(least(b.x + b.w, o.x + o.w) - greatest(b.x, o.x), 0)::double * greatest(least(b.y + b.h, o.y + o.h) - greatest(b.y, o.y), 0))"
 SQL = {
+    "kept_signs": f"""
+with recursive s as (select distinct on (id) nullif(tablet_id, '') as image, id, bbox_x as x, bbox_y as y, bbox_w as w, bbox_h as h, confidence from cuneiform_signs order by id),
+u as (select * from s where x is not null and y is not null and w is not null and h is not null and confidence is not null),
+o as (select *, row_number() over (partition by image order by confidence desc, id) as k from u where image is not null),
+r as (select image, k, [{{'id': id, 'x': x, 'y': y, 'w': w, 'h': h, 'confidence': confidence}}] as kept from o where k = 1
+  union all select o.image, o.k, case when len(list_filter(r.kept, lambda b: {_IOU} > 0.3 * (b.w::double * b.h + o.w::double * o.h - {_IOU}))) = 0
+    then list_append(r.kept, {{'id': o.id, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h, 'confidence': o.confidence}}) else r.kept end from r join o on o.image = r.image and o.k = r.k + 1),
+l as (select image, arg_max(kept, k) as kept from r group by image),
+b as (select image, unnest(kept) as b from l)
+select b.id, image, b.confidence from b union all select id, image, confidence from u where image is null""",
     "vector_topk": """
 with v as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null),
 s as (select a.vec_id as id, b.vec_id as neighbour, round(list_cosine_similarity(a.e, b.e), 9) as s from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)

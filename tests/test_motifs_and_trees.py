@@ -26,8 +26,20 @@ def test_distances_agree_with_matrix(spark):
     pdf = profiles.toPandas()
     full = P.distances(P._matrix(pdf))
     at = {p: i for i, p in enumerate(pdf["profile"])}
-    for r in M.profile_distances(profiles).collect():
-        assert abs(full[at[r["profile_1"]], at[r["profile_2"]]] - r["hybrid_distance"]) < 1e-5
+    rows = M.profile_distances(profiles).collect()
+    for r in rows:
+        want = 1.0 if r["profile_1"] is None else full[at[r["profile_1"]], at[r["profile_2"]]]
+        assert abs(want - r["hybrid_distance"]) < 1e-5
+    assert sum(r["n_pairs"] for r in rows) == 10
+
+
+def test_texts_without_motifs_have_distances(spark):
+    df = texts(spark, "flood ark", "nothing here", "nor here", "flood ark")
+    profiles, members = M.motif_profiles(M.motif_matches(df), df)
+    assert members.count() == 4 and profiles.count() == 2
+    got = sorted((r["hybrid_distance"], r["n_pairs"]) for r in M.profile_distances(profiles).collect())
+    assert got == [(0.0, 1), (0.6, 1), (1.0, 4)]
+    assert M.profile_distances(profiles.limit(0)).count() == 0
 
 
 def test_average_linkage_by_hand():

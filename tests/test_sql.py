@@ -6,7 +6,7 @@ import pytest
 
 from conftest import check_against_sql
 
-MODULES = ["references", "catalog", "readings", "motifs", "similarity", "quality", "star", "features"]
+MODULES = ["references", "catalog", "readings", "motifs", "similarity", "quality", "star", "features", "fragments", "records"]
 PAIRS = [(name, m) for m in MODULES for name in importlib.import_module(f"tellstone.plans.{m}").QUERIES]
 
 
