@@ -9,16 +9,15 @@ from tellstone.session import Scratch
 from tellstone.sources.tables import read_table
 
 #: Quotation marks and brackets, which may stand around the mark that ends a sentence.
-CLOSERS = r"[\"'”“„’‘»«›‹()\[\]\p{Cf}]"
+CLOSERS = r"[\"'”“„’‘»«›‹()\[\]\p{Cf}\p{Cc}]"
 #: A text is finished if at least so many of the places with its last token, or such a mark, have a sentence begin after them.
 ENDS_SENTENCE = 0.5
 #: Weight of what is known of the mark alone against the places of the token itself.
 MARK_WEIGHT = 3
 #: Texts of one source and length, at least half of them unfinished, that make the length a limit.
 LIMIT_TEXTS = 2
-# a token that ends in a mark, and the next one in the line; marks that stand by themselves belong to the token before
-_LOOSE = r"[\"'”“’»›?!]"
-_ENDED_PAIR = rf"(?<![^\s\p{{Z}}])(?=([^\s\p{{Z}}]++(?<=[^\p{{L}}\p{{N}}])\p{{Zs}}+(?:{_LOOSE}+\p{{Zs}}+)?+(?!{_LOOSE}+(?:[\s\p{{Z}}]|$))[^\s\p{{Z}}]++))"
+# tokens that end in a mark, one after another in a line, and the token that follows them
+_MARKED_RUN = r"(?<![^ \n\r\t])(?:[^ \n\r\t]++(?<=[^\p{L}\p{N}]) ++)+[^ \n\r\t]++"
 
 
 def bare_end(text: Column) -> Column:
@@ -72,9 +71,13 @@ def sentence_ends(body: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks after which they don't; signs of omission are marks that nothing ever follows. Tokens without letters say nothing.
     """
     scratch = Scratch(body.sparkSession, "sentence-ends")
-    pairs = body.where("body <> ''").select(F.explode(F.regexp_extract_all("body", F.lit(_ENDED_PAIR), F.lit(1))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    blank = F.regexp_replace("pair", r"\p{Zs}", " ")
-    key, after = ending_key(F.substring_index(blank, " ", 1)), F.substring_index(blank, " ", -1)
+    runs = body.where("body <> ''").select(F.explode(F.regexp_extract_all("body", F.lit(_MARKED_RUN), F.lit(0))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    tokens = F.split(F.regexp_replace("run", " +", " "), " ", -1)
+    loose = lambda t: t.rlike(r"^[\"'”“’»›?!]+$")  # noqa: E731  (marks by themselves belong to the token before)
+    at = lambda i: F.try_element_at(tokens, i)
+    both = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat(at(i), F.lit(" "), F.when(loose(at(i + 1)), at(i + 2)).otherwise(at(i + 1))))
+    pairs = runs.select(F.explode(F.array_compact(both)).alias("pair"), "n")
+    key, after = ending_key(F.substring_index("pair", " ", 1)), F.substring_index("pair", " ", -1)
     start = after.rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
     counts = pairs.select(key.alias("key"), start.alias("start"), F.when(start & (mark_of(ending_key(after)) != ""), ending_key(after)).otherwise("").alias("next"), "n").where(F.col("key").rlike(r"\p{L}") & (mark_of(F.col("key")) != ""))
     counts = scratch.write(counts.groupBy("key", "start", "next").agg(F.sum("n").alias("n")))
@@ -109,9 +112,9 @@ def bare_number(block: Column) -> Column:
 
 
 def _stored_tokens(body: Column) -> Column:
-    """Different tokens of a text but its last, as stored."""
-    tokens = F.split(body, r"[\s\p{Z}]+", -1)
-    return F.array_distinct(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))))
+    """Tokens of a text but its last, as stored; empty ones may be among them."""
+    before = F.left(body, F.length(body) - F.length(last_token(last_block(body))))
+    return F.split(before, r"[\s\p{Z}]+", -1)
 
 
 def truncated(docs: DataFrame, structure: bool = True) -> DataFrame:
