@@ -82,8 +82,8 @@ def _adder(spill: str, memory: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     con.execute("create view part as select * from read_parquet(?)".replace("?", "'" + f"{plain(folder)}/*.parquet".replace("'", "''") + "'"))
                 else:
                     con.register("part", pyarrow.dataset.dataset(folder, format="parquet"))
-                found = con.execute("select term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from part group by term")
-                yield from found.fetch_record_batch(50_000)
+                found = con.sql("select term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from part group by term")
+                yield from found.to_arrow_reader(50_000)
             shutil.rmtree(room, ignore_errors=True)
 
     import pyarrow.dataset
