@@ -284,12 +284,14 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
     """
     targets = read_table(spark, folder, "mix_targets")
     goals = targets.groupBy("mix_name", "source").agg(F.max("target_weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    chosen = mixed(_sized(spark, folder), targets)
-    got = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"), F.max("n_tokens").alias("longest"))
+    sized = Scratch(spark, "sized").write(_sized(spark, folder))
+    there = sized.where("n_tokens > 0").select("source").distinct()
+    got = mixed(sized, targets).groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"), F.max("n_tokens").alias("longest"))
+    rows = goals.where("weight > 0 and max_repeats > 0").join(there, "source").join(got, ["mix_name", "source"], "left").na.fill(0, ["tokens", "most_times", "longest"])
     of_mix = W.partitionBy("mix_name")
     share = F.col("weight") / F.sum("weight").over(of_mix)
     off = F.abs(F.col("tokens") - share * F.sum("tokens").over(of_mix))
-    rows = got.join(goals, ["mix_name", "source"]).withColumns({"target_share": F.round(share, 6), "share_kept": off <= 2 * F.max("longest").over(of_mix)})
+    rows = rows.withColumns({"target_share": F.round(share, 6), "share_kept": off <= 2 * F.max("longest").over(of_mix)})
     return rows.select("mix_name", "source", "target_share", "share_kept", (F.col("most_times") <= F.col("max_repeats")).alias("repeats_kept"))
 
 
