@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tellstone.operators.groups import linked_groups
 from tellstone.operators.joinsearch import continuity, join_search
+from tellstone.session import Scratch
 
 
 def test_groups(spark):
@@ -26,6 +28,24 @@ def test_groups(spark):
     assert linked_groups(df.limit(0), "a", "b").count() == 0
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """One item for each table that is written to the shared folder."""
+    tables, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, *args: tables.append(self) or write(self, *args))
+    return tables
+
+
+def test_groups_of_a_long_chain_take_few_tables(spark, written):
+    names = random.Random(3).sample([f"T-{i}" for i in range(400)], 400)
+    df = spark.createDataFrame([*zip(names, names[1:]), ("x", "y"), ("y", "é")], "a string, b string")
+    rows = linked_groups(df, "a", "b").collect()
+    assert len(written) == 1
+    assert {r["node"]: r["group_id"] for r in rows} == {**{n: min(names) for n in names}, "x": "x", "y": "x", "é": "x"} and len(rows) == 403
+    again = linked_groups(df, "a", "b", in_one_task=20).collect()  # contracted by joins first
+    assert sorted(again) == sorted(rows) and 1 < len(written) < 60
+
+
 def test_join_search(spark):
     texts = spark.createDataFrame([("a", "x y z"), ("b", "X y q"), ("c", "z"), ("d", ""), ("e", None), ("f", "r s"), ("g", "x y z")], "id string, text string")
     got = {}
