@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tellstone.operators.groups import linked_groups
 from tellstone.operators.joinsearch import continuity, join_search
+from tellstone.plans.fragments import match_components
 from tellstone.session import Scratch
 
 
@@ -46,6 +47,14 @@ def test_groups_of_a_long_chain_take_few_tables(spark, written):
     assert sorted(again) == sorted(rows) and 1 < len(written) < 60
 
 
+def test_components_of_a_long_chain_take_few_tables(spark, written, tmp_path):
+    names = random.Random(4).sample([f"T-{i}" for i in range(300)], 300)
+    rows = [*((a, b, 0.65) for a, b in zip(names, names[1:])), ("x", "y", 0.9), ("y", "z", 0.64), ("z", "z", 0.9), ("", "x", 0.9), ("w", "x", float("nan"))]
+    spark.createDataFrame(rows, "tablet_a string, tablet_b string, join_confidence double").write.parquet(f"{tmp_path}/join_match.parquet")
+    assert [tuple(r) for r in match_components(spark, str(tmp_path)).collect()] == [(2, 300)]
+    assert len(written) == 1
+
+
 def test_join_search(spark):
     texts = spark.createDataFrame([("a", "x y z"), ("b", "X y q"), ("c", "z"), ("d", ""), ("e", None), ("f", "r s"), ("g", "x y z")], "id string, text string")
     got = {}
