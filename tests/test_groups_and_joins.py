@@ -55,6 +55,31 @@ def test_components_of_a_long_chain_take_few_tables(spark, written, tmp_path):
     assert len(written) == 1
 
 
+def test_join_search_makes_no_row_for_each_common_term(spark, tmp_path):
+    texts = spark.range(300).selectExpr("cast(id as string) as id", "concat('a b c d e f g h ', if(id % 3 = 0, '', concat('t', id % 7, ' U')), if(id = 5, ' b a', '')) as text")
+    found = join_search(texts.where("id % 20 = 0"), texts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    want = {}
+    words = {r["id"]: r["text"].lower().split() for r in texts.collect()}
+    for q in (str(i) for i in range(0, 300, 20)):
+        rows = []
+        for p in words.keys() - {q}:
+            shares = [len(set(a) & set(b)) / min(len(set(a)), len(set(b))) for a, b in ((words[q], words[p]), ([*zip(words[q], words[q][1:])], [*zip(words[p], words[p][1:])]))]
+            rows.append((-round(0.6 * shares[0] + 0.4 * shares[1], 9), p))
+        want[q] = [p for _, p in sorted(rows)[:3]]
+    got = {}
+    for r in found.orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append(r["partner"])
+    assert got == want
+
+
+def test_join_search_of_single_words(spark):
+    texts = spark.createDataFrame([("a", "x"), ("b", "x x x"), ("c", "y"), (None, "x")], "id string, text string")
+    rows = join_search(texts.where("id in ('a', 'c')"), texts).collect()
+    assert [tuple(r) for r in rows] == [("a", "b", 1.0, 0.0, 0.6, 1)]
+
+
 def test_join_search(spark):
     texts = spark.createDataFrame([("a", "x y z"), ("b", "X y q"), ("c", "z"), ("d", ""), ("e", None), ("f", "r s"), ("g", "x y z")], "id string, text string")
     got = {}
