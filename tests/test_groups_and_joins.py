@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tellstone.operators.groups import linked_groups
 from tellstone.operators.joinsearch import continuity, join_search
-from tellstone.plans.fragments import match_components
+from tellstone.plans.fragments import best_reconstructions, match_components
 from tellstone.session import Scratch
 
 
@@ -80,6 +80,14 @@ def test_join_search_of_single_words(spark):
     assert [tuple(r) for r in rows] == [("a", "b", 1.0, 0.0, 0.6, 1)]
 
 
+def test_reconstructions_of_equal_texts(spark, tmp_path):
+    rows = [(f"T-{i}", "w1 w2 w3" if i < 30 else f"w{i} w1", 0) for i in range(60)] + [("T-0", "old", -1)]
+    spark.createDataFrame(rows, "id string, transliteration string, created_at int").write.parquet(f"{tmp_path}/tablets.parquet")
+    best = best_reconstructions(spark, str(tmp_path))
+    assert "Generate" not in best._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in best.collect()] == [("T-0", "T-1", 1.0), ("T-0", "T-10", 1.0), ("T-0", "T-11", 1.0), ("T-0", "T-20", 1.0), ("T-1", "T-20", 1.0)]
+
+
 def test_join_search(spark):
     texts = spark.createDataFrame([("a", "x y z"), ("b", "X y q"), ("c", "z"), ("d", ""), ("e", None), ("f", "r s"), ("g", "x y z")], "id string, text string")
     got = {}
