@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tellstone.operators import features as E
 from tellstone.plans.motifs import SQL as MOTIF_SQL
 from tellstone.plans.motifs import motif_distances
+from tellstone.session import spread
 from tellstone.sources.tables import latest_by_id, myths, read_table
 
 _M = "(select distinct on (id) * from myth_texts order by id, created_at desc)"
@@ -15,7 +16,7 @@ _M = "(select distinct on (id) * from myth_texts order by id, created_at desc)"
 
 def term_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The three nearest myth texts, by weighted words and word pairs, of those whose number is divisible by 20."""
-    docs = myths(spark, folder, "text").select("id", E.word_terms(F.col("text"), 2).alias("terms"))
+    docs = spread(myths(spark, folder, "text"), "id").select("id", E.word_terms(F.col("text"), 2).alias("terms"))
     weights = E.weighted_terms(docs)
     queries = weights.where(F.regexp_extract("id", r"(\d+)$", 1).try_cast("bigint") % 20 == 0)
     return E.nearest_by_terms(queries, weights, 3).withColumn("similarity", F.round("similarity", 6))

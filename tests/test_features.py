@@ -29,6 +29,22 @@ def test_weights_and_neighbours(spark):
     assert E.weighted_terms(df.limit(0)).count() == 0
 
 
+def test_neighbours_make_no_row_for_each_common_term(spark):
+    rng = np.random.default_rng(2)
+    docs = [(f"d{i}", [f"t{t}" for t in rng.zipf(1.4, 30) if t < 900]) for i in range(250)] + [("d250", ["t1", "t2"]), ("d251", ["t1", "t2"])]
+    weights = E.weighted_terms(spark.createDataFrame(docs, "id string, terms array<string>"))
+    found = E.nearest_by_terms(weights.where("id in ('d250', 'd3', 'd44')"), weights, 4)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin", "")
+    vectors = {}
+    for r in weights.collect():
+        vectors.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    want = set()
+    for q in ("d250", "d3", "d44"):
+        sims = {p: round(sum(w * v.get(t, 0) for t, w in vectors[q].items()), 9) for p, v in vectors.items() if p != q and vectors[q].keys() & v.keys()}
+        want |= {(q, p, place + 1) for place, p in enumerate(sorted(sims, key=lambda p: (-sims[p], p))[:4])}
+    assert {(r["id"], r["neighbour"], r["place"]) for r in found.collect()} == want
+
+
 def test_reduced_vectors_keep_products(spark):
     df = spark.createDataFrame([(i, [f"t{i % 3}", f"u{i % 2}"]) for i in range(12)], "id int, terms array<string>")
     weights = E.weighted_terms(df)
