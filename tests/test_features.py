@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tellstone.operators import features as E
 from tellstone.plans.features import visual_word_shares
+from tellstone.plans.fragments import char_neighbours
+from tellstone.session import spread
 
 
 def test_terms(spark):
@@ -45,6 +47,18 @@ def test_neighbours_make_no_row_for_each_common_term(spark):
     assert {(r["id"], r["neighbour"], r["place"]) for r in found.collect()} == want
 
 
+def test_char_neighbours_join_no_terms_and_use_all_cores(spark, tmp_path):
+    rows = [(f"M-{i}", f"abc {'xyz' * (i % 5)} {i % 7}", 0) for i in range(50)] + [("M-0", "old", -1), ("M-60", None, 0)]
+    spark.createDataFrame(rows, "id string, text string, created_at int").write.parquet(f"{tmp_path}/myth_texts.parquet")
+    found = char_neighbours(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert found.where("id = 'M-0' and place = 1").first()["neighbour"] == "M-35"
+    assert {r["id"] for r in found.collect()} == {"M-0", "M-20", "M-40"}
+    grouped = spark.range(9).groupBy("id").count()
+    assert spread(grouped, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+
+
 def test_reduced_vectors_keep_products(spark):
     df = spark.createDataFrame([(i, [f"t{i % 3}", f"u{i % 2}"]) for i in range(12)], "id int, terms array<string>")
     weights = E.weighted_terms(df)
