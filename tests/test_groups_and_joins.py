@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tellstone.operators import joinsearch
 from tellstone.operators.groups import linked_groups
 from tellstone.operators.joinsearch import continuity, join_search
 from tellstone.plans.fragments import best_reconstructions, match_components
@@ -88,6 +89,28 @@ def test_reconstructions_of_equal_texts(spark, tmp_path):
     assert [tuple(r) for r in best.collect()] == [("T-0", "T-1", 1.0), ("T-0", "T-10", 1.0), ("T-0", "T-11", 1.0), ("T-0", "T-20", 1.0), ("T-1", "T-20", 1.0)]
 
 
+def test_best_pairs_meet_only_where_scores_are_high(spark, monkeypatch):
+    asked, search = [], joinsearch.join_search
+    monkeypatch.setattr(joinsearch, "join_search", lambda *args, **more: asked.append(more.get("least")) or search(*args, **more))
+    rng = random.Random(7)
+    rows = [(f"T-{i}", " ".join(rng.choices("abcdefghijkl", weights=range(1, 13), k=rng.choice((1, 2, 3, 9, 30))))) for i in range(400)]
+    texts = spark.createDataFrame(rows, "id string, text string")
+    queries = texts.where("cast(substr(id, 3) as int) % 5 = 0")
+
+    def want(k, n):
+        found = search(queries, texts, k).selectExpr("least(id, partner) a", "greatest(id, partner) b", "round(score, 6) s").distinct().collect()
+        return [(a, b, s) for s, a, b in sorted((-r["s"], r["a"], r["b"]) for r in found)][:n]
+
+    for n, upto in ((5, 1), (10_000, 3)):
+        asked.clear()
+        got = [(r["a"], r["b"], -r["score"]) for r in joinsearch.best_pairs(queries, texts, n).collect()]
+        assert got == want(3, n) and len(asked) == upto
+    for least in (1.0, 0.9, 0.7, 0.3):
+        for by in ("min", "max"):
+            all_of = [tuple(r) for r in search(queries, texts, 400, by).collect() if round(r["score"], 6) >= least]
+            assert sorted(tuple(r) for r in search(queries, texts, 400, by, least).collect()) == sorted(all_of) and (all_of or by == "max")
+
+
 def test_join_search(spark):
     texts = spark.createDataFrame([("a", "x y z"), ("b", "X y q"), ("c", "z"), ("d", ""), ("e", None), ("f", "r s"), ("g", "x y z")], "id string, text string")
     got = {}
