@@ -59,6 +59,27 @@ def test_char_neighbours_join_no_terms_and_use_all_cores(spark, tmp_path):
     assert spread(grouped, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
 
 
+def test_counts_of_chars_and_their_neighbours(spark):
+    rng = np.random.default_rng(3)
+    texts = [(f"t{i}", " ".join("".join(rng.choice(list("abcİß𒀀é-"), rng.integers(1, 6))) for _ in range(rng.integers(0, 9)))) for i in range(120)] + [("null", None), ("blank", " \t\n "), (None, "abc")]
+    df = spark.createDataFrame(texts, "id string, text string")
+    counted = E.char_counts(df)
+    number = lambda t: sum((ord(c) + 1) << 21 * (len(t) - 1 - i) for i, c in enumerate(t))
+    want = {}
+    for r in df.select("id", E.char_terms(F.col("text")).alias("terms")).collect():
+        want[r["id"]] = {number(t): r["terms"].count(t) for t in r["terms"]}
+    assert {r["id"]: dict(zip(r["terms"], r["counts"])) for r in counted.collect()} == want
+    weights = E.weighted_terms(df.select("id", E.char_terms(F.col("text")).alias("terms")), sublinear=False)
+    asks = F.col("id").endswith("0") | F.col("id").isin("null", "blank")
+    near = sorted(tuple(r) for r in E.nearest_by_terms(weights.where(asks), weights, 3).collect())
+    for most in (200_000, 10):  # the second by joins
+        found = E.nearest_by_counts(counted, asks, 3, most)
+        assert sorted(tuple(r) for r in found.collect()) == near and len(near) > 30
+    plan = E.nearest_by_counts(counted, asks, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    assert E.nearest_by_counts(E.char_counts(df.limit(0)), asks, 3).count() == 0
+
+
 def test_reduced_vectors_keep_products(spark):
     df = spark.createDataFrame([(i, [f"t{i % 3}", f"u{i % 2}"]) for i in range(12)], "id int, terms array<string>")
     weights = E.weighted_terms(df)
