@@ -123,6 +123,7 @@ class _Cell:
         self.id = np.concatenate([b.column("id").to_numpy() for b in batches])
         self.raw = np.concatenate([_vectors(b.column("vec")) for b in batches])
         self.unit = unit(self.raw)
+        self.by_id = np.argsort(self.id)
         self.lists: dict[int, np.ndarray] = {}
         of = np.concatenate([b.column("held").flatten().to_numpy() for b in batches])
         n = np.concatenate([np.diff(b.column("held").offsets.to_numpy()) for b in batches])
@@ -132,24 +133,42 @@ class _Cell:
             self.lists[int(of[order[part[0]]])] = row[part]
 
     def nearest(self, batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
-        """The k most similar postings of the lists that each row of the batch asks, scored exactly."""
+        """The k most similar postings of the lists that each row of the batch asks, scored exactly.
+
+        A list gives a row its best ones; as soon as one has given enough, others need only give what is no worse than the last of those.
+        """
         asked = batch.column("asked")
         to = asked.flatten().to_numpy()
         row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
         ids, raw = batch.column("id").to_numpy(), _vectors(batch.column("vec"))
         x = unit(raw)
+        own = self.by_id[np.minimum(np.searchsorted(self.id, ids, sorter=self.by_id), len(self.id) - 1)]
+        own = np.where(self.id[own] == ids, own, len(self.id))  # the place of a row among the postings
+        place = np.full(len(self.id) + 1, -1)
         order = np.argsort(to, kind="stable")
-        found = []
+        found, worst = [], np.full(batch.num_rows, -1.5, np.float32)
         for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(to) else []:
             held = self.lists.get(int(to[part[0]]))
             if held is None:
                 continue
-            most = min(k + SPARE, len(held))
+            most = k + SPARE
+            place[held] = np.arange(len(held))
             for rows in np.split(row[part], range(4096, len(part), 4096)):
                 sims = x[rows] @ self.unit[held].T
-                sims[self.id[held] == ids[rows][:, None]] = -2
-                at = np.argpartition(-sims, most - 1, axis=1)[:, :most] if most < len(held) else np.broadcast_to(np.arange(most), sims.shape)
-                found.append((np.repeat(rows, most), held[at].ravel(), np.take_along_axis(sims, at, 1).ravel()))
+                itself = np.flatnonzero(place[own[rows]] >= 0)
+                sims[itself, place[own[rows[itself]]]] = -2
+                good = sims >= worst[rows][:, None]
+                many = np.flatnonzero(np.count_nonzero(good, axis=1) > most)
+                if len(many):
+                    better = sims[many]
+                    at = np.argpartition(-better, most - 1, axis=1)[:, :most]
+                    better = np.take_along_axis(better, at, 1)
+                    worst[rows[many]] = better.min(axis=1)
+                    found.append((np.repeat(rows[many], most), held[at].ravel(), better.ravel()))
+                    good[many] = False
+                i, j = np.nonzero(good)
+                found.append((rows[i], held[j], sims[i, j]))
+            place[held] = -1
         if not found:
             return
         q, p, s = (np.concatenate(c) for c in zip(*found))

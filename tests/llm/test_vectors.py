@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,21 @@ def test_clusters_are_balanced():
     assert sizes.max() <= 150 and len(c) >= 60
     c, n = balanced_centroids(np.repeat(x[:1], 500, axis=0), 50, rng)
     assert len(c) == 1 and n.tolist() == [500]
+
+
+def test_a_cell_sorts_out_few_postings_of_later_lists(monkeypatch):
+    rng, n, dim, k = np.random.default_rng(4), 1200, 12, 10
+    vec = rng.normal(size=(n, dim)).astype(np.float32)
+    held = [[i % 8] + [(i + 3) % 8] * (i % 5 == 0) for i in range(n)]  # some are in two lists
+    ids = np.arange(n) * 7 + 3
+    raw = pa.array([v.tobytes() for v in vec])
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), raw, pa.array(held, pa.list_(pa.int32())), pa.array([list(range(8))] * n, pa.list_(pa.int32()))], ["id", "vec", "held", "asked"])
+    sorted_out, partition = [], np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda a, *args, **more: sorted_out.append(len(a)) or partition(a, *args, **more))
+    out = pa.Table.from_batches(list(neighbours._Cell([rows]).nearest(rows, k)))
+    assert n <= sum(sorted_out) < 4 * n
+    x = vec.astype(np.float64) / np.linalg.norm(vec.astype(np.float64), axis=1, keepdims=True)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    want = {(ids[i], ids[j]) for i in range(n) for j in np.argsort(-sims[i])[:k]}
+    assert {*zip(out["id"].to_pylist(), out["neighbour"].to_pylist())} == want and out.num_rows == n * k
