@@ -1,9 +1,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tellstone.operators import blocks as B
 from tellstone.operators import features as E
 from tellstone.plans.features import visual_word_shares
 from tellstone.plans.fragments import char_neighbours
@@ -59,6 +61,50 @@ def test_char_neighbours_join_no_terms_and_use_all_cores(spark, tmp_path):
     assert spread(grouped, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
 
 
+def test_every_text_has_char_neighbours(spark, tmp_path):
+    rows = [(f"M-{i}", f"abc {'xyz' * (i % 5)} {i % 7}", 0) for i in range(1, 40)] + [("no number", "abc xyz 3", 0), ("M-7b", "xyz", 0), ("null", None, 0)]
+    spark.createDataFrame(rows, "id string, text string, created_at int").write.parquet(f"{tmp_path}/myth_texts.parquet")
+    found = char_neighbours(spark, str(tmp_path))
+    rows_of = found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["place"]) for r in rows_of) == sorted((r[0], place) for r in rows if r[1] for place in (1, 2, 3))
+
+
+def test_pairs_beyond_the_bounds_are_left_out_and_no_other(monkeypatch):
+    monkeypatch.setattr(E, "FIRST_AXES", 12)
+    monkeypatch.setattr(E, "AXES", 24)
+    rng, k = np.random.default_rng(7), 3
+    n, n_terms = 900, 400
+    kinds = rng.random((60, n_terms)) * (rng.random((60, n_terms)) < 0.1)
+    x = kinds[rng.integers(0, 60, n)] + 0.3 * rng.random((n, n_terms)) * (rng.random((n, n_terms)) < 0.05)
+    x[5], x[700:703] = 0, x[3]  # without terms; equal ones
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    sims = x @ x.T
+    np.fill_diagonal(sims, 0)
+    want = {(i, j) for i in range(n) for j in np.lexsort((np.arange(n), -np.round(sims[i], 9)))[:k] if sims[i, j] > 0}
+
+    def part(of):
+        at, term = np.nonzero(x[of])
+        return at, term, x[of][at, term]
+
+    axes = E._axes(*part(range(0, n, 3)), 300)
+    side = lambda of: (pa.array([f"{i:04d}" for i in of]), part(of), E._bounds(*part(of), len(of), *axes).astype(np.float32))
+    multiplied = []
+    products = B.products
+    monkeypatch.setattr(B, "products", lambda q, r, shape: multiplied.append(shape) or products(q, r, shape))
+    for many in (1, 0):  # pairs within the bounds, or all of a block
+        monkeypatch.setattr(E, "MANY", many)
+        queries, top, found = side(range(n)), np.full((n, k), -1.0), []
+        for begin in range(0, n, 300):
+            out = E._nearest_bounded(queries, side(range(begin, begin + 300)), top, n_terms, k).to_pylist()
+            found += [(int(r["id"]), int(r["neighbour"]), r["similarity"]) for r in out]
+        assert len(found) < 2.5 * k * n and bool(multiplied) == (many == 0)
+        best = {}
+        for i, j, s in found:
+            best.setdefault(i, []).append((-round(s, 9), j))
+        assert {(i, j) for i, rows in best.items() for _, j in sorted(rows)[:k]} == want
+
+
 def test_counts_of_chars_and_their_neighbours(spark):
     rng = np.random.default_rng(3)
     texts = [(f"t{i}", " ".join("".join(rng.choice(list("abcİß𒀀é-"), rng.integers(1, 6))) for _ in range(rng.integers(0, 9)))) for i in range(120)] + [("null", None), ("blank", " \t\n "), (None, "abc")]
