@@ -10,6 +10,8 @@ import numpy as np
 BRANCHES, ROUNDS = 8, 4
 #: Neighbours of a centroid in the graph, and candidates kept during a search at least (more for many centroids).
 DEGREE, WIDTH = 16, 24
+#: So many centroids are compared sooner than a beam search, as wide as the root of their number at least, is through.
+COMPARED = 32_768
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -81,21 +83,18 @@ class CentroidGraph:
     def within(self, queries: np.ndarray, ratio: float, first: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, centroid and place of all centroids at most ``ratio`` times as far as a query's nearest; a query's come nearest first.
 
-        The search is repeated with a wider beam for the queries whose last centroid is still within the ratio, and
-        where it would be as wide as a quarter of the graph, all centroids are compared.
+        Up to COMPARED centroids are compared all. Of more the search is repeated with a wider beam for the queries whose last centroid is still
+        within the ratio, and where it would be as wide as a quarter of the graph, all are compared.
         """
+        if len(self.centroids) <= COMPARED:
+            return self._all_within(queries, ratio)
         out, active, count = [], np.arange(len(queries)), first
         while len(active):
             if 4 * count >= len(self.centroids):
-                ids, sims = [], []
-                for at in range(0, len(active), 2048):
-                    s = queries[active[at : at + 2048]] @ self.centroids.T
-                    order = np.argsort(-s, axis=1, kind="stable")
-                    ids.append(order)
-                    sims.append(np.take_along_axis(s, order, 1))
-                ids, sims = np.concatenate(ids), np.concatenate(sims)
-            else:
-                ids, sims = self.search(queries[active], count)
+                row, ids, place = self._all_within(queries[active], ratio)
+                out.append((active[row], ids, place))
+                break
+            ids, sims = self.search(queries[active], count)
             far = np.where(ids >= 0, np.sqrt(np.maximum(0, 2 - 2 * sims)), np.inf)
             near = far <= far[:, :1] * ratio
             done = ~near[:, -1] | (ids.shape[1] >= len(self.centroids))
@@ -104,6 +103,21 @@ class CentroidGraph:
             active, count = active[~done], 4 * count
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
+    def _all_within(self, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``within`` by comparing all centroids; only those within the ratio are sorted."""
+        out, some = [(np.empty(0, np.int64),) * 3], max(1, 4_000_000 // len(self.centroids))
+        for at in range(0, len(queries), some):
+            sims = queries[at : at + some] @ self.centroids.T
+            nearest = np.sqrt(np.maximum(0, 2 - 2 * sims.max(axis=1)))
+            row, ids = np.divmod(np.flatnonzero(sims >= (1 - (nearest * ratio) ** 2 / 2 - 1e-5)[:, None]), sims.shape[1])
+            found = sims[row, ids]
+            good = np.sqrt(np.maximum(0, 2 - 2 * found)) <= nearest[row] * np.float32(ratio)
+            row, ids, found = row[good], ids[good], found[good]
+            order = np.lexsort((-found, row))
+            row, ids = row[order], ids[order]
+            out.append((at + row, ids, np.arange(len(row)) - np.searchsorted(row, row)))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
     def _beam(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(q), len(self.centroids)
         width = min(width, k)

@@ -131,32 +131,47 @@ class _Cell:
         row = np.repeat(np.arange(len(n)), n)[order]
         for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of[order])) + 1) if len(of) else []:
             self.lists[int(of[order[part[0]]])] = row[part]
+        self.numbers = np.array([*self.lists], np.int64)  # ascending
+        self.units = [self.unit[held] for held in self.lists.values()]
+        self.means = np.array([x.mean(axis=0) for x in self.units], np.float32).reshape(-1, self.unit.shape[1])
+        self.square = np.einsum("nd,nd->n", *[self.raw.astype(np.float64)] * 2)
 
     def nearest(self, batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
         """The k most similar postings of the lists that each row of the batch asks, scored exactly.
 
         A list gives a row its best ones; as soon as one has given enough, others need only give what is no worse than the last of those.
+        So the list whose mean is nearest to a row comes first.
         """
+        if not len(self.numbers):
+            return
         asked = batch.column("asked")
         to = asked.flatten().to_numpy()
         row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+        of = np.minimum(np.searchsorted(self.numbers, to), len(self.numbers) - 1)
+        here = self.numbers[of] == to
+        row, of = row[here], of[here]
         ids, raw = batch.column("id").to_numpy(), _vectors(batch.column("vec"))
         x = unit(raw)
         own = self.by_id[np.minimum(np.searchsorted(self.id, ids, sorter=self.by_id), len(self.id) - 1)]
         own = np.where(self.id[own] == ids, own, len(self.id))  # the place of a row among the postings
         place = np.full(len(self.id) + 1, -1)
-        order = np.argsort(to, kind="stable")
+        near = (x @ self.means.T)[row, of]
+        nearest = np.full(batch.num_rows, -np.inf, np.float32)
+        np.maximum.at(nearest, row, near)
+        turn = of + len(self.numbers) * (near < nearest[row])
+        order = np.argsort(turn, kind="stable")
+        most, held_by = k + SPARE, [*self.lists.values()]
         found, worst = [], np.full(batch.num_rows, -1.5, np.float32)
-        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(to) else []:
-            held = self.lists.get(int(to[part[0]]))
-            if held is None:
-                continue
-            most = k + SPARE
+        for part in np.split(order, np.flatnonzero(np.diff(turn[order])) + 1) if len(turn) else []:
+            held, y = held_by[of[part[0]]], self.units[of[part[0]]]
             place[held] = np.arange(len(held))
             for rows in np.split(row[part], range(4096, len(part), 4096)):
-                sims = x[rows] @ self.unit[held].T
+                sims = x[rows] @ y.T
                 itself = np.flatnonzero(place[own[rows]] >= 0)
                 sims[itself, place[own[rows[itself]]]] = -2
+                some = sims.max(axis=1) >= worst[rows]
+                if not some.all():
+                    sims, rows = sims[some], rows[some]
                 good = sims >= worst[rows][:, None]
                 many = np.flatnonzero(np.count_nonzero(good, axis=1) > most)
                 if len(many):
@@ -166,18 +181,22 @@ class _Cell:
                     worst[rows[many]] = better.min(axis=1)
                     found.append((np.repeat(rows[many], most), held[at].ravel(), better.ravel()))
                     good[many] = False
-                i, j = np.nonzero(good)
+                i, j = np.divmod(np.flatnonzero(good), good.shape[1])
                 found.append((rows[i], held[j], sims[i, j]))
             place[held] = -1
         if not found:
             return
         q, p, s = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((p, q))
+        good = (s >= worst[q]) & (s > -2)
+        q, p, s = q[good], p[good], s[good]
+        order = np.argsort(q * len(self.id) + p)
         q, p, s = q[order], p[order], s[order]
-        fresh = np.r_[True, (q[1:] != q[:-1]) | (p[1:] != p[:-1])] & (s > -2)  # a posting may be in several lists of the cell
-        q, p, s = _first(q[fresh], p[fresh], s[fresh], self.id, k + SPARE)
-        a, b = raw[q].astype(np.float64), self.raw[p].astype(np.float64)
-        s = np.einsum("nd,nd->n", a, b) / np.sqrt(np.einsum("nd,nd->n", a, a) * np.einsum("nd,nd->n", b, b))
+        fresh = np.r_[True, (q[1:] != q[:-1]) | (p[1:] != p[:-1])][: len(q)]  # a posting may be in several lists of the cell
+        q, p, s = _first(q[fresh], p[fresh], s[fresh], self.id, most)
+        square, s = np.einsum("nd,nd->n", *[raw.astype(np.float64)] * 2), np.empty(len(q))
+        for at in range(0, len(q), 4096):
+            i, j = q[at : at + 4096], p[at : at + 4096]
+            s[at : at + 4096] = np.einsum("nd,nd->n", raw[i].astype(np.float64), self.raw[j].astype(np.float64)) / np.sqrt(square[i] * self.square[j])
         q, p, s = _first(q, p, s, self.id, k)
         yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(self.id[p]), pa.array(s)], ["id", "neighbour", "similarity"])
 
@@ -271,8 +290,8 @@ def nearest_vectors(vectors: DataFrame, k: int = NEIGHBOURS, queries: Column | N
     * Posting lists: balanced clusters, fitted on a bounded sample by splitting clusters
       until they are small; every vector is indexed. A vector at a boundary is kept in all lists that are
       hardly farther than its nearest (POSTING_RATIO); a query reads all lists within a
-      distance ratio (PROBE_RATIO), however many there are. Both come from one beam search over a
-      graph of the centroids in memory, which widens until it is past the ratio. Only centroids and their graph go to
+      distance ratio (PROBE_RATIO), however many there are. Both come from one search of the centroids in memory: all are
+      compared, or, of very many, a beam over their graph widens until it is past the ratio. Only centroids and their graph go to
       all tasks: at most 2 SAMPLE_MOST / 8 for a kind.
     * Lists that lie next to each other make a cell. A row goes to a cell once, with the lists of it that it is kept in and
       asks. A task holds the postings of a cell, some CELL_POSTINGS, and queries stream past them. A list or cell

@@ -152,3 +152,36 @@ def test_a_cell_sorts_out_few_postings_of_later_lists(monkeypatch):
     np.fill_diagonal(sims, -2)
     want = {(ids[i], ids[j]) for i in range(n) for j in np.argsort(-sims[i])[:k]}
     assert {*zip(out["id"].to_pylist(), out["neighbour"].to_pylist())} == want and out.num_rows == n * k
+
+
+def test_all_centroids_within_the_ratio_are_found(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(27, 48))
+    c = unit(base[rng.integers(0, 27, 3000)] + 0.6 * rng.normal(size=(3000, 48)))
+    q = unit(base[rng.integers(0, 27, 150)] + 0.9 * rng.normal(size=(150, 48)))
+    far = np.sqrt(np.maximum(0, 2 - 2 * (q @ c.T)))
+    want = {(i, j) for i in range(150) for j in np.flatnonzero(far[i] <= far[i].min() * np.float32(1.35))}
+    graph = CentroidGraph(c, rng)
+    row, ids, place = graph.within(q, 1.35)
+    assert {*zip(row.tolist(), ids.tolist())} == want and len(row) == len(want) > 3000
+    assert all((np.diff(far[i, ids[row == i]]) >= -1e-6).all() and (place[row == i] == np.arange((row == i).sum())).all() for i in range(150))
+    monkeypatch.setattr("tellstone.llm.centroids.COMPARED", 0)  # by the graph
+    row, ids, _ = graph.within(q, 1.35)
+    assert len(want & {*zip(row.tolist(), ids.tolist())}) >= 0.9 * len(want)
+
+
+def test_a_cell_begins_with_the_nearest_list(monkeypatch):
+    rng, n, dim, k = np.random.default_rng(5), 800, 12, 5
+    centre = np.linspace(rng.normal(size=dim), 3 * rng.normal(size=dim), 8)  # the lists come nearer and nearer to the rows that ask
+    vec = (centre[np.arange(n) % 8] + 0.1 * rng.normal(size=(n, dim))).astype(np.float32)
+    asking = (centre[7] + 0.1 * rng.normal(size=(50, dim))).astype(np.float32)
+    raw = lambda x: pa.array([v.tobytes() for v in x])
+    lists = lambda x: pa.array(x, pa.list_(pa.int32()))
+    names = ["id", "vec", "held", "asked"]
+    cell = neighbours._Cell([pa.RecordBatch.from_arrays([pa.array(np.arange(n)), raw(vec), lists([[i % 8] for i in range(n)]), lists([[]] * n)], names)])
+    sorted_out, partition = [], np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda a, *args, **more: sorted_out.append(len(a)) or partition(a, *args, **more))
+    out = pa.Table.from_batches(list(cell.nearest(pa.RecordBatch.from_arrays([pa.array(np.arange(50) + n), raw(asking), lists([[]] * 50), lists([[*range(8), 99]] * 50)], names), k)))
+    assert sum(sorted_out) == 50
+    want = {(n + i, int(j)) for i in range(50) for j in np.argsort(-(unit(asking)[i] @ unit(vec).T))[:k]}
+    assert {*zip(out["id"].to_pylist(), out["neighbour"].to_pylist())} == want
